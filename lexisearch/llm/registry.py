@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexisearch.llm.neardup import op4_near_duplicates
 from lexisearch.llm.secrets import op1_secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op4_near_duplicates": op4_near_duplicates,
 }
 SQL: dict[str, str] = {}
