@@ -94,7 +94,7 @@ def features(arr: pa.Array) -> dict[str, np.ndarray]:
         "words": count,
         "lines": lines,
         "symbols": share(n[_OTHER] + n[_BAR], chars),
-        "letters": share(ascii_letters + n[_WIDE], solid),
+        "letters": share(ascii_letters + n[_WIDE] + n[_DIGIT], solid),
         "capitals": share(n[_UP], ascii_letters),
         "exclamations": share(n[_MARK], count),
         "bars": share(n[_BAR], count),
@@ -125,8 +125,8 @@ def votes(arr: pa.Array) -> np.ndarray:
     v = np.stack(
         [
             under("symbols", 0.02, 0.06),
-            over("letters", 0.85, 0.75),
-            under("capitals", 0.2, 0.6),
+            over("letters", 0.85, 0.75, nw >= 10),
+            between(f["capitals"], (f["capitals"] <= 0.2) & (nw >= 5), (f["capitals"] >= 0.6) & (nw >= 5)),
             under("exclamations", 0.05, 0.3),
             under("bars", 0.01, 0.1),
             under("echoes", 0.05, 0.2),
