@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 import xxhash
 
 PIECE_BYTES = 2 << 20
+PIECE_ROWS = 1 << 15
 _WORD = np.zeros(256, bool)
 _WORD[128:] = True
 for _a, _b in (("0", "9"), ("a", "z"), ("A", "Z")):
@@ -54,7 +55,7 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE_BYTES) -> Itera
     ends = np.cumsum(size)
     at, base = 0, 0
     while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
+        to = min(at + PIECE_ROWS, max(at + 1, int(np.searchsorted(ends, base + most, "right"))))
         yield batch.slice(at, to - at)
         at, base = to, int(ends[to - 1])
 

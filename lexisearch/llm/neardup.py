@@ -37,7 +37,7 @@ BAND = 4
 BASE = 1.001
 RATE = 20.0
 TOP = (1 << 16) - 2
-THRESHOLD = 0.6
+THRESHOLD = 0.55
 #: Standard errors by which an estimate may lie under the threshold and still be verified.
 SLACK = 3.0
 #: Up to so many ids (16 MB) are broadcast to pick documents; more are joined by a shuffle.

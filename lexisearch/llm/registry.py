@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexisearch.llm.neardup import op4_near_duplicates
 from lexisearch.llm.quality import op3_quality_rules
+from lexisearch.llm.retrieval import op5_retrieval_packing
 from lexisearch.llm.secrets import op1_secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op3_quality_rules": op3_quality_rules,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_retrieval_packing": op5_retrieval_packing,
 }
 SQL: dict[str, str] = {}
