@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexisearch.llm import fingerprint
 from lexisearch.llm.bpe import op2_bpe
 from lexisearch.llm.neardup import op4_near_duplicates
 from lexisearch.llm.quality import op3_quality_rules
@@ -20,5 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_duplicates": op4_near_duplicates,
     "op5_retrieval_packing": op5_retrieval_packing,
     "op9_token_rows": op9_token_rows,
+    "op10_fingerprints": fingerprint.op10_fingerprints,
+}
+SQL: dict[str, str] = {
+    "op10_fingerprints": fingerprint.SQL,
 }
-SQL: dict[str, str] = {}
