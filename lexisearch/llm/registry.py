@@ -10,6 +10,7 @@ from lexisearch.llm import fingerprint
 from lexisearch.llm.bpe import op2_bpe
 from lexisearch.llm.hmm import op7_lm_scores
 from lexisearch.llm.html import op6_html_text
+from lexisearch.llm.license import op8_license_scan
 from lexisearch.llm.neardup import op4_near_duplicates
 from lexisearch.llm.quality import op3_quality_rules
 from lexisearch.llm.retrieval import op5_retrieval_packing
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_retrieval_packing": op5_retrieval_packing,
     "op6_html_text": op6_html_text,
     "op7_lm_scores": op7_lm_scores,
+    "op8_license_scan": op8_license_scan,
     "op9_token_rows": op9_token_rows,
     "op10_fingerprints": fingerprint.op10_fingerprints,
 }
