@@ -1,23 +1,62 @@
-"""Corpus preparation in stages, each over all that the one before kept."""
+"""Corpus preparation in stages, each over all that the one before kept.
+
+Every stage but the last returns the columns of ``documents``; columns the table has
+besides are carried along. Each stage's result is written as Parquet and read again.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window
 
-from lexisearch.llm import secrets
+from lexisearch.llm import neardup, quality, retrieval, secrets
 from lexisearch.llm._spark import load, materialize
 
 
-def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are replaced; every document stays."""
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are good with a posterior probability of half or more stay.
+
+    Null and empty texts go. Rows are judged one by one, so repeated rows fare alike.
+    """
+    return quality.keep_good(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: the one with the least id.
+
+    Of rows that share an id, copies or not, the one with the least text stays (nulls
+    last, then any of equal rows). Rows without an id are in no group; they stay.
+    """
+    found = neardup.groups(docs)
+    gone = found.where("doc_id <> group_id").select(F.col("doc_id").alias("__gone"))
+    repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("__again"))
+    lone = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    again = lone.join(repeated, F.col("doc_id") == F.col("__again"), "left_semi")
+    first = Window.partitionBy("doc_id").orderBy(F.asc_nulls_last("text"))
+    once = again.withColumn("__place", F.row_number().over(first)).where("__place = 1").drop("__place")
+    return lone.join(repeated, F.col("doc_id") == F.col("__again"), "left_anti").union(once)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced, and ``n_chars`` follows; every document stays."""
     return secrets.redact_secrets(docs)
 
 
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Windows of 2,048 words, each filled with its first document's lexical neighbours."""
+    return retrieval.pack(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("secret_scan", redact),
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("secret_scan", secret_scan),
+    ("packing", packing),
 ]
+#: Neither EM nor greedy packing can be said in SQL; the stages are tested against brute force.
 ORACLE_SQL: str | None = None
 
 
