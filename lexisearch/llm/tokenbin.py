@@ -60,7 +60,7 @@ class Capacities:
             node >>= 1
 
     def take(self, size: int) -> tuple[int, int] | None:
-        """(room, row) of the fullest row with room for ``size``, which is removed; the oldest of equals."""
+        """(room, row) of the fullest row with room for ``size``, which is removed; of equals the one that came to that room first."""
         tree, node = self.tree, size + self.leaves
         if not tree[node]:
             while True:  # up until there is something to the right
