@@ -38,14 +38,18 @@ def analyzed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
     return docs.select(*((F.col(c) if c in have else default[c]).cast(kinds[c]).alias(c) for c in SEGMENT), F.col(id_col).alias("doc_id"), F.coalesce(tokens, F.array().cast("array<string>")).alias("tokens"))
 
 
-def term_frequencies(docs: DataFrame, terms: list[str] | None = None) -> DataFrame:
+def term_frequencies(docs: DataFrame, terms: list[str] | DataFrame | None = None) -> DataFrame:
     """(segment, term, doc_id, tf, dl): a document's count of each non-empty term, and its
-    length in tokens, empty ones included. ``terms`` keeps only these, before anything is exploded.
+    length in tokens, empty ones included. ``terms`` keeps only these: a list before anything
+    is exploded, a table (column ``term``) before anything is counted.
 
     A document's tokens sit in one row, so the counts are complete before the shuffle.
     """
-    wanted = F.filter("tokens", (lambda t: t.isin(terms)) if terms is not None else (lambda t: t != ""))
+    listed = isinstance(terms, list)
+    wanted = F.filter("tokens", (lambda t: t.isin(terms)) if listed else (lambda t: t != ""))
     rows = docs.select(*SEGMENT, "doc_id", F.size("tokens").alias("dl"), F.explode(wanted).alias("term"))
+    if terms is not None and not listed:
+        rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
     return rows.groupBy(*SEGMENT, "term", "doc_id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
 
 
@@ -81,7 +85,7 @@ def with_impacts(tf: DataFrame, stats: DataFrame) -> DataFrame:
     return rows.select(*SEGMENT, "term", "doc_id", "tf", "dl", impact(F.col("tf"), F.col("dl"), F.col("df"), F.col("num_docs"), F.col("avg_length")).alias("bm25"))
 
 
-def build_postings(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", terms: list[str] | None = None) -> DataFrame:
+def build_postings(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", terms: list[str] | DataFrame | None = None) -> DataFrame:
     """Postings of all documents, or of ``terms`` only (with the same impacts)."""
     docs = analyzed(docs, text_col, id_col)
     return with_impacts(term_frequencies(docs, terms), segment_stats(docs))

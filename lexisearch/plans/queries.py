@@ -14,6 +14,7 @@ from lexisearch.operators import catalog, index, maintain, search
 from lexisearch.plans.plugins import Plugin, standard
 from lexisearch.schemas import SEGMENTS
 from lexisearch.sources import files
+from lexisearch.sources.tables import read_table as table
 
 QUERY = "the and attion thanedble"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,10 +33,6 @@ def query(sql: str | None = None):
     return add
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def documents(spark: SparkSession, sf_dir: str, segments: int = 1, groups: int = 1) -> DataFrame:
     """The documents dealt to groups and segments by their ids."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -153,7 +150,7 @@ SELECT query_id, rank::INTEGER AS rank, 0::BIGINT AS segment_id, doc_id, round(s
 )
 def search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), A.tokenize(F.col("text")).alias("tokens"))
-    return _found(search.search_batch(index.build_postings(documents(spark, sf_dir)), raw, 5))
+    return _found(search.search_batch(index.build_postings(documents(spark, sf_dir), terms=search.query_terms(raw)), raw, 5))
 
 
 @query(_hits(segments=4))
