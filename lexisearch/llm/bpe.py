@@ -16,7 +16,7 @@ import base64
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
-from os.path import commonprefix
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -39,17 +39,54 @@ class Encoder:
         with open(path, "rb") as f:
             self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes_of = {v: k for k, v in self.rank.items()}
-        tails: dict[bytes, set[int]] = {}
-        for token in self.rank:
-            tails.setdefault(token[-3:], {1, 2}).add(len(token))
-        #: Lengths that a token ending in these three bytes can have, longest first.
-        self.tails = {k: tuple(sorted(v, reverse=True)) for k, v in tails.items() if len(k) == 3}
+        if any(bytes([b]) not in self.rank for b in range(256)):
+            raise ValueError("the vocabulary needs a token for each byte")
         self.split = regex.compile(pattern)
         self.pieces = self._undo()
         self.fits: dict[tuple[int, int], bool] = {}
         self.first: dict[str, bytes] = {}
         self.after_space: dict[str, bytes] = {}
-        self.sizes = np.array([len(self.bytes_of.get(i, b"")) for i in range(max(self.bytes_of) + 1)])
+        self._automaton()
+
+    def _automaton(self) -> None:
+        """A state for each prefix of a token: ``step`` by byte, ``back`` to the longest proper
+        suffix that is a state, ``ends`` the longest token that is a suffix, if any. ``shorter`` has the
+        next shorter suffix token of each token, and ``size`` tokens' lengths."""
+        self.step: dict[int, int] = {}
+        self.back, self.ends = [0], [-1]
+        own = [-1]
+        for token, me in self.rank.items():
+            state = 0
+            for byte in token:
+                new = self.step.get(state << 8 | byte)
+                if new is None:
+                    new = self.step[state << 8 | byte] = len(self.back)
+                    self.back.append(0)
+                    self.ends.append(-1)
+                    own.append(-1)
+                state = new
+            own[state] = me
+        self.size = [0] * (max(self.bytes_of) + 1)
+        self.shorter = [-1] * len(self.size)
+        children: dict[int, list[tuple[int, int]]] = {}
+        for key, to in self.step.items():
+            children.setdefault(key >> 8, []).append((key & 255, to))
+        level = [0]
+        while level:
+            below = []
+            for state in level:
+                for byte, to in children.get(state, ()):
+                    if state:
+                        at = self.back[state]
+                        while (found := self.step.get(at << 8 | byte)) is None and at:
+                            at = self.back[at]
+                        self.back[to] = found or 0
+                    me, rest = own[to], self.ends[self.back[to]]
+                    self.ends[to] = rest if me < 0 else me
+                    if me >= 0:
+                        self.shorter[me], self.size[me] = rest, len(self.bytes_of[me])
+                    below.append(to)
+            level = below
 
     def _undo(self) -> dict[int, tuple[int, int]]:
         """The two tokens whose merge makes a token; a single byte is its own."""
@@ -88,40 +125,51 @@ class Encoder:
 
     def encode_sorted(self, words: Iterable[bytes]) -> Iterator[list[int]]:
         """Token ids of each word; the words sorted, without repeats or empty ones."""
-        rank, fits, tails = self.rank, self.fits, self.tails
-        last: list[int] = [0]  # last token of each prefix on the path, by its length
-        size: list[int] = [0]  # and that token's length
+        step, known, follow, number = self.step.get, self.fits.get, self.may_follow, int.from_bytes
+        back, ends, shorter, size = self.back, self.ends, self.shorter, self.size
+        states, last = [0], [0]  # automaton state and last token of each prefix on the path, by its length
         before = b""
         for word in words:
-            shared = len(commonprefix((before, word)))
-            del last[shared + 1 :], size[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                for length in tails.get(word[end - 3 : end], (2, 1)) if end > 2 else (2, 1):
-                    start = end - length
-                    if start < 0 or (token := rank.get(word[start:end])) is None:
-                        continue
-                    if start:
-                        pair = last[start], token
-                        ok = fits.get(pair)
-                        if ok is None:
-                            ok = self.may_follow(*pair)
-                        if not ok:
-                            continue
-                    last.append(token)
-                    size.append(length)
-                    break
+            n = min(len(before), len(word))
+            shared = n - ((number(before[:n], "big") ^ number(word[:n], "big")).bit_length() + 7) // 8
+            del states[shared + 1 :], last[shared + 1 :]
+            state, end = states[shared], shared
+            for byte in word[shared:]:
+                end += 1
+                to = step(state << 8 | byte)
+                while to is None:
+                    state = back[state]
+                    to = step(state << 8 | byte)
+                state = to
+                token = ends[state]
+                while (length := size[token]) < end:
+                    left = last[end - length]
+                    ok = known((left, token))
+                    if follow(left, token) if ok is None else ok:
+                        break
+                    token = shorter[token]
+                states.append(state)
+                last.append(token)
             before, ids, at = word, [], len(word)
             while at:
                 ids.append(last[at])
-                at -= size[at]
+                at -= size[last[at]]
             ids.reverse()
             yield ids
 
+    def _parts(self, word: str, space: str) -> list[bytes]:
+        """The pre-tokens of a word; all letters, or letters and one mark, need no expression."""
+        if word.isalpha():
+            return [(space + word).encode()]
+        if word[:-1].isalpha() and word[-1] in ".,;:!?)":
+            return [(space + word[:-1]).encode(), word[-1].encode()]
+        return [p.encode() for p in self.split.findall(space + word)]
+
     def _learn(self, found: set[str], space: str, memory: dict[str, bytes]) -> None:
         new = [w for w in found if w not in memory]
-        split = {w: [p.encode() for p in self.split.findall(space + w)] for w in new}
+        split = {w: self._parts(w, space) for w in new}
         parts = sorted(set(chain.from_iterable(split.values())))
-        ids = {p: np.array(t, "<i4").tobytes() for p, t in zip(parts, self.encode_sorted(parts), strict=True)}
+        ids = {p: pack("<%di" % len(t), *t) for p, t in zip(parts, self.encode_sorted(parts), strict=True)}
         for w, p in split.items():
             memory[w] = b"".join([ids[x] for x in p])
 
