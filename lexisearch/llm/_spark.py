@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -11,6 +12,10 @@ from pyspark.sql import functions as F
 from lexisearch.sources.tables import read_table as load  # noqa: F401
 
 
+#: Tables that are still in the shared folder.
+_made: dict[str, SparkSession] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
@@ -32,6 +37,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexisearch-{uuid.uuid4().hex}"
+    _made[path] = spark
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._lexi_path = path
@@ -41,9 +47,21 @@ def materialize(df: DataFrame) -> DataFrame:
 def release(*tables: DataFrame) -> None:
     """Delete tables made by :func:`materialize` that no later plan reads."""
     for df in tables:
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._lexi_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df._lexi_path)
+
+
+def _delete(path: str) -> None:
+    spark = _made.pop(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _tidy() -> None:
+    """What results were read from goes when the driver ends, if its session still runs."""
+    for path in list(_made):
+        if _made[path].sparkContext._jsc is not None:
+            _delete(path)
 
 
 def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
