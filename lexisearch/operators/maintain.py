@@ -32,6 +32,11 @@ def merge_postings(postings: DataFrame, ids: list[int], into: int) -> DataFrame:
     return postings.where(F.col("segment_id").isin(ids)).withColumn("segment_id", F.lit(into).cast("bigint"))
 
 
+def relabel(postings: DataFrame, ids: list[int], into: int) -> DataFrame:
+    """All rows, those of these segments as rows of one."""
+    return postings.withColumn("segment_id", F.when(F.col("segment_id").isin(ids), F.lit(into).cast("bigint")).otherwise(F.col("segment_id")))
+
+
 def merged_frequencies(postings: DataFrame) -> DataFrame:
     """(term, df): postings of each term over all segments."""
     return postings.groupBy("term").agg(F.count("*").alias("df"))

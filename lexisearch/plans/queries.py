@@ -280,8 +280,7 @@ def route_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_postings(4)} SELECT 9::BIGINT AS segment_id, doc_id, term, round(bm25, 6) AS bm25 FROM p WHERE segment_id IN (1, 3) UNION ALL SELECT segment_id, doc_id, term, round(bm25, 6) FROM p WHERE segment_id NOT IN (1, 3)")
 def merge_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = index.build_postings(documents(spark, sf_dir, 4))
-    merged = maintain.merge_postings(rows, [1, 3], 9).unionByName(rows.where(~F.col("segment_id").isin(1, 3)))
+    merged = maintain.relabel(index.build_postings(documents(spark, sf_dir, 4)), [1, 3], 9)
     return rounded(merged.select("segment_id", "doc_id", "term", "bm25"), "bm25")
 
 

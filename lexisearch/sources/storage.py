@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexisearch.errors import CorruptIndex, IndexClosed
-from lexisearch.operators.index import SEGMENT, IndexOptions, analyzed, doc_lengths, segment_stats, term_frequencies, with_impacts
+from lexisearch.operators.index import SEGMENT, IndexOptions, analyzed, doc_lengths, term_frequencies, with_impacts
 from lexisearch.operators.maintain import merge_postings, pick_segments, without
-from lexisearch.schemas import POSTINGS, SEGMENTS, TOMBSTONES
+from lexisearch.schemas import LENGTHS, POSTINGS, SEGMENTS, TOMBSTONES
+from lexisearch.sources.tables import spread
 
 FORMAT = 1
 
@@ -69,29 +70,44 @@ class SegmentStore:
         None if there are none. Writing the same number again replaces it."""
         self._open()
         segment_id = self.next_segment() if segment_id is None else segment_id
-        docs = analyzed(docs, text_col, id_col).withColumn("segment_id", F.lit(segment_id).cast("bigint")).withColumn("doc_id", F.col("doc_id").cast("string"))
-        if docs.where("doc_id is null").limit(1).count():
-            raise ValueError("documents need an id")
-        stats = segment_stats(docs)
-        new = stats.select("*", F.current_timestamp().alias("create_time"), F.lit(FORMAT).alias("version")).collect()
-        if not new:
-            return None
-        self._write(with_impacts(term_frequencies(docs), stats), "postings")
+        docs = analyzed(spread(docs), text_col, id_col).withColumn("segment_id", F.lit(segment_id).cast("bigint")).withColumn("doc_id", F.col("doc_id").cast("string"))
+        self._clear(segment_id)
         self._write(doc_lengths(docs), "lengths")
+        # Statistics come from the lengths just written, so that texts are analyzed for these and for the postings only.
+        held = self._table("lengths", LENGTHS).where(F.col("segment_id") == segment_id)
+        total = F.sum(F.col("dl").cast("bigint"))
+        stats = held.groupBy(*SEGMENT).agg(F.count("*").alias("num_docs"), total.alias("total_length"), F.count("doc_id").alias("ids"))
+        found = stats.withColumn("avg_length", F.expr("total_length div num_docs")).select("*", F.current_timestamp().alias("create_time"), F.lit(FORMAT).alias("version")).collect()
+        if any(r.ids < r.num_docs for r in found):
+            self._clear(segment_id)
+            raise ValueError("documents need an id")
         kept = self.manifest().where(F.col("segment_id") != segment_id).collect()
-        self._commit(kept + new)
+        if not found:
+            return None
+        new = self.spark.createDataFrame([(r.namespace, r.group_id, r.segment_id, r.num_docs, r.total_length, r.avg_length, r.create_time, r.version) for r in found], SEGMENTS)
+        self._write(with_impacts(term_frequencies(docs), new.select(*SEGMENT, "num_docs", "total_length", "avg_length")), "postings")
+        self._commit(kept + new.collect())
         return segment_id
 
+    def _clear(self, segment_id: int) -> None:
+        """Deletes what an earlier attempt at this segment may have left in any group."""
+        for name in ("postings", "lengths"):
+            for f in self._fs.globStatus(self._hadoop(f"{self.path}/{name}/*/*/segment_id={segment_id}")) or []:
+                self._fs.delete(f.getPath(), True)
+
     def _write(self, rows: DataFrame, name: str) -> None:
         """Sorted by term within the partitions, with a Bloom filter on it, so that lookups read few row groups."""
         key = "term" if name == "postings" else "doc_id"
         out = rows.repartition(*SEGMENT, key).sortWithinPartitions(*SEGMENT, key).write.mode("overwrite")
         out.option("partitionOverwriteMode", "dynamic").option(f"parquet.bloom.filter.enabled#{key}", "true").partitionBy(*SEGMENT).parquet(f"{self.path}/{name}")
 
+    def _table(self, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+
     def _live(self, name: str, schema: str) -> DataFrame:
         if not self._exists(f"{self.path}/{name}"):
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        rows = self._table(name, schema)
         return rows.join(self.manifest().select(*SEGMENT), list(SEGMENT), "left_semi")
 
     def postings(self, namespace: str | None = None, apply_deletes: bool = True) -> DataFrame:
@@ -103,7 +119,7 @@ class SegmentStore:
         return without(rows, self.tombstones()) if apply_deletes else rows
 
     def lengths(self) -> DataFrame:
-        return self._live("lengths", "namespace string, group_id int, segment_id bigint, doc_id string, dl int")
+        return self._live("lengths", LENGTHS)
 
     def tombstones(self) -> DataFrame:
         path = f"{self.path}/tombstones"
