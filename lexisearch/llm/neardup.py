@@ -11,8 +11,10 @@ similarity (locality-sensitive). The steps:
   thousands of exact copies cost a row each and no pairs.
 * ``candidates``: four registers are a band; documents that share a band value
   meet. In a bucket everyone is paired with its least member first; later rounds
-  pair whatever groups still share a bucket, until no new pair is left. A bucket of
-  thousands of copies so costs thousands of pairs, and none is dropped.
+  pair the least members of whatever groups still share a bucket, and when those are
+  all tried, every member with every member of another group, until no new pair is
+  left. A bucket of thousands of copies that link up so costs thousands of pairs, and
+  no pair of different groups is dropped.
 * ``estimate``: the Jaccard similarity that makes a pair's register comparisons
   likeliest, given the set sizes; far pairs end here.
 * ``verify``: exact similarity of the shingle sets of what is left.
@@ -256,10 +258,13 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     linked, tried = same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), None
     pairs = met.withColumn("b", F.min("doc_id").over(by_band)).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
     made = []
-    while True:
-        pairs = materialize(pairs)
-        if pairs.isEmpty():
-            break
+
+    def untried(members: DataFrame) -> DataFrame:
+        x, y = members.toDF("band", "gx", "a"), members.toDF("band", "gy", "b")
+        return materialize(x.join(y, "band").where("gx <> gy and b < a").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+
+    pairs = materialize(pairs)
+    while not pairs.isEmpty():
         close = materialize(estimated(pairs, reps, threshold).distinct())
         found = verified(close, docs, threshold)
         made += [close, found, pairs]
@@ -268,9 +273,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
         part = components(linked)
         made.append(part)
         mine = met.join(part.withColumnRenamed("group_id", "g"), "doc_id", "left").select("band", F.coalesce("g", "doc_id").alias("g"), "doc_id")
-        mine = mine.groupBy("band", "g").agg(F.min("doc_id").alias("doc_id"))
-        x, y = mine.toDF("band", "gx", "a"), mine.toDF("band", "gy", "b")
-        pairs = x.join(y, "band").where("gx <> gy and b < a").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+        pairs = untried(mine.groupBy("band", "g").agg(F.min("doc_id").alias("doc_id")))
+        if pairs.isEmpty():
+            made.append(pairs)
+            pairs = untried(mine)
+    made.append(pairs)
     part = components(linked)
     whole = part.union(part.select(F.col("group_id").alias("doc_id"), "group_id")).distinct()
     out = materialize(whole.withColumn("n_docs", F.count("*").over(Window.partitionBy("group_id"))).select("doc_id", "group_id", "n_docs"))

@@ -149,3 +149,20 @@ def test_table(odd, spark):
     assert N.groups(odd.where("false")).count() == 0
     rows = [(1, "a b c d e f"), (1, "p q r s t u"), (2, "a b c d e f"), (3, "p q r s t u"), (1, "a b c d e f")]
     assert groups_of(N.groups(spark.createDataFrame(rows, "doc_id bigint, text string"))) == {1: 1, 2: 1, 3: 1}
+
+
+def test_copies_of_single_members_of_a_hot_group(spark):
+    """A document near one member of a large group, not the least, joins it wherever they share a band."""
+    rng = np.random.default_rng(11)
+    base = text(rng, 200)
+    copies = [edited(rng, base, 0.02) for _ in range(100)]
+    rows = [(i, " ".join(c)) for i, c in enumerate(copies)]
+    sets = [shingle_set(t) for _, t in rows]
+    while len(rows) < 140:
+        k = int(rng.integers(1, 100))
+        t = " ".join(edited(rng, copies[k], 0.09))
+        j = np.array([jaccard(shingle_set(t), s) for s in sets])
+        if 0.55 <= j[k] < 0.6 and (j >= 0.55).sum() == 1:
+            rows.append((len(rows) + 900, t))
+    got = groups_of(N.groups(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert sum(got.get(i) != 0 for i, _ in rows[100:]) <= 3
