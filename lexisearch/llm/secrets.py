@@ -74,7 +74,10 @@ def _web_token(token: str) -> bool:
 
 
 def _key_block(token: str) -> bool:
-    body = re.sub(r"(?m)^[A-Za-z-]+: .*$", "", token.split("-----")[2])
+    body = token.split("-----")[2]
+    if len(body) < 40:
+        return False
+    body = re.sub(r"(?m)^[A-Za-z-]+: .*$", "", body)
     try:
         raw = base64.b64decode(re.sub(r"\s", "", body), validate=True)
     except (ValueError, binascii.Error):
@@ -100,12 +103,12 @@ RULES = (
     Rule("npm_token", ("npm_",), re.compile(_BEFORE + r"npm_[A-Za-z0-9]{36}" + _END), _crc_tail, "checksum"),
     Rule("aws_access_key", ("akia", "asia"), re.compile(_BEFORE + r"A[KS]IA[A-Z2-7]{16}" + _END), _account, "structure"),
     Rule("web_token", ("eyj",), re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{16,}"), _web_token, "structure"),
-    Rule("private_key", ("-----begin ",), re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----[^-]{40,20000}-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----"), _key_block, "structure"),
+    Rule("private_key", ("-----begin ",), re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----(?:[^-]|-(?!----))*+-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----"), _key_block, "structure"),
     Rule("google_api_key", ("aiza",), re.compile(_BEFORE + r"AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])"), _random, "entropy"),
     Rule("gitlab_token", ("glpat-",), re.compile(_BEFORE + r"glpat-[0-9A-Za-z_-]{20}(?![0-9A-Za-z_-])"), _random, "entropy"),
     Rule("slack_token", ("xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-"), re.compile(_BEFORE + r"xox[abprs]-[0-9A-Za-z-]{20,200}"), _random, "entropy"),
     Rule("stripe_key", ("sk_live_", "rk_live_"), re.compile(_BEFORE + r"[sr]k_live_[0-9A-Za-z]{24,99}" + _END), _random, "entropy"),
-    Rule("assigned_secret", ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "access_key", "private_key"), re.compile(r"(?i:token|secret|password|passwd|api[_-]?key|access_key|private_key)[\"']?\s{0,8}(?:=|:|:=|=>)\s{0,8}[\"']([0-9A-Za-z+/=_.\-]{16,512})[\"']"), _random, "entropy"),
+    Rule("assigned_secret", ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "access_key", "private_key"), re.compile(r"(?i:token|secret|password|passwd|api[_-]?key|access_key|private_key)[\"']?(?:\s{0,8}(?:=|:|:=|=>)\s{0,8}[\"'](?=[0-9A-Za-z+/=_.\-]{16,512}[\"'])|[ \t]{0,8}(?:=>|:=|=|:)[ \t]{0,8}(?=[0-9A-Za-z+/=_.\-]{16,512}(?:\s|\Z)))([0-9A-Za-z+/=_.\-]{16,512})"), _random, "entropy"),
 )
 
 

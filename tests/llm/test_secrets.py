@@ -76,3 +76,15 @@ def test_redaction_keeps_all_else(spark, odd, docs, rows_of):
     assert clean.schema == docs.schema and clean.count() == docs.count()
     assert S.find_secrets(clean).count() == 0 and S.find_secrets(docs).count() > 0
     assert clean.where("n_chars <> length(text)").count() == 0
+
+
+def test_keys_with_headers_and_values_without_quotes():
+    body = "\n".join(base64.b64encode(bytes(range(1, 49))).decode() for _ in range(600))
+    for head in ("Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,7F2A90C3D1E4B5A6978812345678ABCD\n\n", "Proc-Type: 4,ENCRYPTED\r\nDEK-Info: DES-EDE3-CBC,0011223344556677\r\n\r\n"):
+        key = f"-----BEGIN RSA PRIVATE KEY-----\n{head}{body}\n-----END RSA PRIVATE KEY-----"
+        assert len(key) > 20000 and S.redact(f"a {key} b") == "a [REDACTED:private_key] b"
+    value = "04db9e1c77a2f3685b10"
+    for line in (f"token = {value}", f"API_KEY={value}\nNEXT=1", f"password: {value}\r\n", f"AWS_SECRET_ACCESS_KEY={value}"):
+        assert [(line[s:e], name) for s, e, name, _ in S.scan(line)] == [(value, "assigned_secret")]
+    for line in (f"token\n= {value}", "token = aaaaaaaaaaaaaaaaaaaa", f"token = {value}(x)", f"token = {value} ".replace("04db", "04d{")):
+        assert S.scan(line) == []
