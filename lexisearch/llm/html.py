@@ -24,12 +24,16 @@ from lexisearch.llm._spark import load
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|head|textarea|select|iframe)\b.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|textarea)(?![a-z0-9:-]).*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-z][a-z0-9:-]*)(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+>"
     r"|<[!?/][^<>]*>",
     re.S | re.I,
 )
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Left out with what is in them where their end tag follows; else only the tag is.
+_SKIPPED = {name: re.compile(rf"</{name}\s*>", re.I) for name in "noscript template svg select iframe title".split()}
+#: Any other tag ends a head.
+_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 _SPACE = re.compile(r"\s+")
 
 #: Words and link density of the block before, the block, and the block after; 1 if the block is content.
@@ -111,6 +115,8 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
     out: list[tuple[str, int, int]] = []
     text: list[str] = []
     linked = links = at = 0
+    head = False
+    endless: set[str] = set()
 
     def close() -> None:
         nonlocal linked
@@ -128,15 +134,28 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
             if links:
                 linked += len(raw.split())
 
-    for m in _MARKUP.finditer(page):
+    while m := _MARKUP.search(page, at):
         take(page[at : m.start()])
         at = m.end()
         name = m[3]
         if name is None:
-            if m[1] and m[1].lower() != "svg":
+            if m[1]:
                 close()
             continue
         name = name.lower()
+        if name == "head":
+            head = not m[2]
+        elif name not in _HEAD:
+            head = False
+        if name in _SKIPPED and not m[2] and name not in endless and (head or name != "title") and not (name == "svg" and m[0].endswith("/>")):
+            if end := _SKIPPED[name].search(page, at):
+                at = end.end()
+                if name != "svg":
+                    close()
+                continue
+            endless.add(name)
+        if name == "svg":
+            continue
         if name == "a":
             links = max(0, links - 1) if m[2] else links + 1
         elif name not in _INLINE:
@@ -173,8 +192,9 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
 
     A narrow pass over whole pages. Null pages give nulls, empty ones or pages without
     text an empty text and no blocks. Repeated rows each give a row; null ids stay null;
-    other columns are ignored; an empty table gives an empty result. Unclosed comments
-    and scripts reach to the page's end.
+    other columns are ignored; an empty table gives an empty result. Unclosed comments,
+    scripts, styles and text areas reach to the page's end; a head without an end tag
+    ends at the first tag of the body, and of other unclosed elements only the tag goes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

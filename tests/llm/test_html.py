@@ -57,3 +57,15 @@ def test_table(spark, sf, rows_of):
     assert [(r.page_id, r.n_blocks) for r in got] == [(1, None), (1, None), (2, 0), (3, 1), (None, 1)]
     assert len(got[3].text.split()) == 200000
     assert H.extract_text(rows.where("false")).count() == 0
+
+
+def test_elements_without_an_end_tag():
+    text = [("some words", 2, 0)]
+    for body in ("<body><p>some words", "<p>some words", "<div>some words</div></body></html>"):
+        assert H.blocks("<html><head><meta charset=utf-8><title>x</title><style>p {}</style>" + body) == text
+    assert H.blocks("<head><title>a < b</title></head><p>some words") == text
+    for name in ("select", "svg", "noscript", "iframe", "template"):
+        assert H.blocks(f"<p><{name}>some words") == H.blocks(f"<p><{name}-box>some words</{name}-box>") == text
+        assert H.blocks(f"<{name}>no</{name}><p>some words") == text
+    assert H.blocks("<p>some words<textarea>no") == H.blocks("<p>some words<style>no<p>no") == text
+    assert H.blocks("<svg>" * 50000 + "some words") == text
