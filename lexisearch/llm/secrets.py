@@ -18,6 +18,7 @@ import json
 import math
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -87,13 +88,23 @@ def _key_block(token: str) -> bool:
 
 @dataclass(frozen=True)
 class Rule:
-    """``secret`` is matched from the keyword's first character on; group 1, or all of it, is the secret."""
+    """``secret`` is matched from the keyword's first character on; group 1, or all of it, is the secret.
+
+    An open rule's secret has no greatest length: ``secret`` is what stands before it,
+    ``run`` its characters, of which all that follow each other are taken, at least
+    ``least``. A quote before it must follow it too, and ``after`` must match behind one
+    without. ``whole`` takes what stands before into the secret.
+    """
 
     name: str
     keywords: tuple[str, ...]
     secret: re.Pattern
     valid: Callable[[str], bool]
     evidence: str
+    run: re.Pattern | None = None
+    least: int = 0
+    whole: bool = False
+    after: re.Pattern | None = None
 
 
 _END = r"(?![A-Za-z0-9_])"
@@ -102,13 +113,23 @@ RULES = (
     Rule("github_token", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), re.compile(_BEFORE + r"gh[pousr]_[A-Za-z0-9]{36}" + _END), _crc_tail, "checksum"),
     Rule("npm_token", ("npm_",), re.compile(_BEFORE + r"npm_[A-Za-z0-9]{36}" + _END), _crc_tail, "checksum"),
     Rule("aws_access_key", ("akia", "asia"), re.compile(_BEFORE + r"A[KS]IA[A-Z2-7]{16}" + _END), _account, "structure"),
-    Rule("web_token", ("eyj",), re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{16,}"), _web_token, "structure"),
+    Rule("web_token", ("eyj",), re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]{16,}+"), _web_token, "structure"),
     Rule("private_key", ("-----begin ",), re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----(?:[^-]|-(?!----))*+-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----"), _key_block, "structure"),
     Rule("google_api_key", ("aiza",), re.compile(_BEFORE + r"AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])"), _random, "entropy"),
     Rule("gitlab_token", ("glpat-",), re.compile(_BEFORE + r"glpat-[0-9A-Za-z_-]{20}(?![0-9A-Za-z_-])"), _random, "entropy"),
-    Rule("slack_token", ("xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-"), re.compile(_BEFORE + r"xox[abprs]-[0-9A-Za-z-]{20,200}"), _random, "entropy"),
-    Rule("stripe_key", ("sk_live_", "rk_live_"), re.compile(_BEFORE + r"[sr]k_live_[0-9A-Za-z]{24,99}" + _END), _random, "entropy"),
-    Rule("assigned_secret", ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "access_key", "private_key"), re.compile(r"(?i:token|secret|password|passwd|api[_-]?key|access_key|private_key)[\"']?(?:\s{0,8}(?:=|:|:=|=>)\s{0,8}[\"'](?=[0-9A-Za-z+/=_.\-]{16,512}[\"'])|[ \t]{0,8}(?:=>|:=|=|:)[ \t]{0,8}(?=[0-9A-Za-z+/=_.\-]{16,512}(?:\s|\Z)))([0-9A-Za-z+/=_.\-]{16,512})"), _random, "entropy"),
+    Rule("slack_token", ("xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-"), re.compile(_BEFORE + r"xox[abprs]-(?=[0-9A-Za-z-])"), _random, "entropy", re.compile(r"[0-9A-Za-z-]*+"), 20, True),
+    Rule("stripe_key", ("sk_live_", "rk_live_"), re.compile(_BEFORE + r"[sr]k_live_(?=[0-9A-Za-z])"), _random, "entropy", re.compile(r"[0-9A-Za-z]*+"), 24, True, re.compile(_END)),
+    Rule(
+        "assigned_secret",
+        ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "access_key", "private_key"),
+        re.compile(r"(?i:token|secret|password|passwd|api[_-]?key|access_key|private_key)[\"']?(?:\s*+(?:=>|:=|=|:)\s*+(?P<quote>[\"'])|[ \t]*+(?:=>|:=|=|:)[ \t]*+)(?=[0-9A-Za-z+/=_.\-])"),
+        _random,
+        "entropy",
+        re.compile(r"[0-9A-Za-z+/=_.\-]*+"),
+        16,
+        False,
+        re.compile(r"\s|\Z"),
+    ),
 )
 
 
@@ -130,25 +151,62 @@ def _lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
+def _open_matches(i: int, heads: list[re.Match], text: str) -> Iterator[tuple[int, int, int]]:
+    """(rule, start, end) of an open rule's secrets, given its heads by place.
+
+    Heads may lie in each other's runs. The runs' ends are found once, and letters are
+    counted from a run's end backwards, so that the work follows the text's length.
+    """
+    rule = RULES[i]
+    stop = -1
+    runs: list[tuple[int, int, int, str | None]] = []  # first character that counts, length's start, end, quote
+    for m in heads:
+        start = m.end()
+        if start >= stop:
+            stop = rule.run.match(text, start).end()
+        runs.append((m.start() if rule.whole else start, start, stop, m.groupdict().get("quote")))
+    seen: Counter = Counter()
+    total, at, end = 0, -1, -1
+    for first, start, stop, quote in reversed(runs):
+        if stop != end:
+            seen, total, at, end = Counter(), 0, stop, stop
+        seen.update(text[first:at])
+        total, at = total + at - first, first
+        if stop - start < rule.least or (text[stop : stop + 1] != quote if quote else rule.after is not None and not rule.after.match(text, stop)):
+            continue
+        if math.log2(total) - sum(n * math.log2(n) for n in seen.values()) / total >= MIN_ENTROPY:
+            yield i, first, stop
+
+
 def scan(text: str | None) -> list[tuple[int, int, str, str]]:
     """(start, end, rule, evidence) of each secret, by place; none overlap.
 
     Where two rules match overlapping ranges the one listed first in ``RULES``
-    stays, and of one rule the leftmost.
+    stays, and of one rule the leftmost. Secrets may be of any length and number.
     """
     if not text:
         return []
-    found = []
+    found: list[tuple[int, int, int]] = []
+    heads: dict[int, list[re.Match]] = {}
     for last, (size, rules) in _automaton().iter(_lower(text)):
         for i in rules:
             m = RULES[i].secret.match(text, last - size + 1)
-            if m:
-                g = 1 if m.lastindex else 0
-                if RULES[i].valid(m[g]):
-                    found.append((i, m.start(g), m.end(g)))
+            if not m:
+                continue
+            if RULES[i].run is not None:
+                heads.setdefault(i, []).append(m)
+            elif RULES[i].valid(m[0]):
+                found.append((i, *m.span()))
+    for i, own in heads.items():
+        found += _open_matches(i, sorted(own, key=re.Match.end), text)
+    starts: list[int] = []  # of what is kept, by place, with the ends
+    ends: list[int] = []
     kept: list[tuple[int, int, str, str]] = []
     for i, s, e in sorted(set(found)):
-        if all(e <= a or s >= b for a, b, _, _ in kept):
+        at = bisect_right(starts, s)
+        if (at == 0 or ends[at - 1] <= s) and (at == len(starts) or e <= starts[at]):
+            starts.insert(at, s)
+            ends.insert(at, e)
             kept.append((s, e, RULES[i].name, RULES[i].evidence))
     return sorted(kept)
 
@@ -172,7 +230,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row for each secret: the document, the rule, the half-open range in
     characters, what confirmed it, and the secret's SHA-256 (never the secret).
 
-    One narrow pass over the whole texts; no shuffle. Null or empty text has no
+    One narrow pass over the whole texts, however long; no shuffle. Null or empty text has no
     rows. Repeated rows give their findings each. A null id stays null. Other
     columns are ignored; an empty table gives an empty result.
     """

@@ -50,9 +50,14 @@ def test_automaton_loses_nothing(docs):
         brute = []
         for i, rule in enumerate(S.RULES):
             for m in rule.secret.finditer(text):
-                g = 1 if m.lastindex else 0
-                if rule.valid(m[g]):
-                    brute.append((i, m.start(g), m.end(g)))
+                s, e = m.span()
+                if rule.run is not None:
+                    s, e = (s if rule.whole else e), rule.run.match(text, e).end()
+                    quote = m.groupdict().get("quote")
+                    if e - m.end() < rule.least or (text[e : e + 1] != quote if quote else rule.after and not rule.after.match(text, e)):
+                        continue
+                if rule.valid(text[s:e]):
+                    brute.append((i, s, e))
         kept = []
         for i, s, e in sorted(brute):
             if all(e <= a or s >= b for a, b, _ in kept):
@@ -88,3 +93,25 @@ def test_keys_with_headers_and_values_without_quotes():
         assert [(line[s:e], name) for s, e, name, _ in S.scan(line)] == [(value, "assigned_secret")]
     for line in (f"token\n= {value}", "token = aaaaaaaaaaaaaaaaaaaa", f"token = {value}(x)", f"token = {value} ".replace("04db", "04d{")):
         assert S.scan(line) == []
+
+
+def test_no_greatest_length():
+    body = base64.b64encode(b"\x30\x82" + bytes(range(256)) * 400).decode()
+    key = f"-----BEGIN PRIVATE KEY-----\n{body}\n-----END PRIVATE KEY-----"
+    long = (GOOD[4:] * 3000)[:100_000]
+    for text, rest in ((f"a {key} b", "a [REDACTED:private_key] b"), (f'x token = "{long}" y', 'x token = "[REDACTED:assigned_secret]" y'), (f"API_KEY={long}\n", "API_KEY=[REDACTED:assigned_secret]\n"), (f"k xoxb-{long} y", "k [REDACTED:slack_token] y"), (f"sk_live_{long}", "[REDACTED:stripe_key]"), (f"password{' ' * 5000}={' ' * 5000}{long}", f"password{' ' * 5000}={' ' * 5000}[REDACTED:assigned_secret]")):
+        assert len(text) > 90_000 and S.redact(text) == rest
+
+
+def test_many_secrets_and_nested_runs_take_time_as_their_length():
+    import time
+
+    began = time.monotonic()
+    assert len(S.scan(f"{GOOD} " * 10_000)) == 10_000
+    assert S.scan("token=" * 100_000) == []  # one run, in which every keyword heads the rest
+    assert S.scan("xoxb-" * 100_000) == []
+    assert S.scan("token " * 100_000) == []
+    assert S.scan("-----BEGIN PRIVATE KEY-----" * 20_000) == []
+    inner = "token=" * 1000 + "a" * 100_000 + ".secret=04db9e1c77a2f3685b10"
+    assert [inner[s:e] for s, e, _, _ in S.scan(inner)] == ["04db9e1c77a2f3685b10"]
+    assert time.monotonic() - began < 30
