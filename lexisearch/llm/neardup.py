@@ -11,10 +11,12 @@ similarity (locality-sensitive). The steps:
   thousands of exact copies cost a row each and no pairs.
 * ``candidates``: four registers are a band; documents that share a band value
   meet. In a bucket everyone is paired with its least member first; later rounds
-  pair the least members of whatever groups still share a bucket, and when those are
-  all tried, every member with every member of another group, until no new pair is
-  left. A bucket of thousands of copies that link up so costs thousands of pairs, and
-  no pair of different groups is dropped.
+  pair the least members of the groups that share a bucket. What is then left apart
+  in a bucket of up to ``SMALL_BUCKET`` members is paired member by member; in a
+  larger one only members whose rarest shingles agree somewhere are, as any two of
+  the threshold's similarity must (prefixes of the sets in one order of all
+  shingles). No pair that reaches the threshold is left out by this, and documents that
+  have much in common, but less than the threshold, make no pairs.
 * ``estimate``: the Jaccard similarity that makes a pair's register comparisons
   likeliest, given the set sizes; far pairs end here.
 * ``verify``: exact similarity of the shingle sets of what is left.
@@ -26,8 +28,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexisearch.llm._spark import id_text, load, materialize, release
@@ -42,6 +45,10 @@ TOP = (1 << 16) - 2
 THRESHOLD = 0.55
 #: Standard errors by which an estimate may lie under the threshold and still be verified.
 SLACK = 3.0
+#: In buckets of more members pairs are made by their rarest shingles only.
+SMALL_BUCKET = 48
+#: Shingles are counted in so many hash buckets, for the order of prefixes only.
+ORDER_BUCKETS = 1 << 20
 #: Up to so many ids (16 MB) are broadcast to pick documents; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 _C = tuple(np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -191,14 +198,14 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             for part in pieces(batch, "text"):
                 ids, first = shingles(part.column(1))
-                fp, ids = fingerprints(ids, first), (ids >> _ID_BITS).astype("<u4")
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp), pa.array([ids[s:e].tobytes() for s, e in zip(first[:-1], first[1:], strict=True)], pa.binary())], schema=schema)
+                fp = fingerprints(ids, first)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp), pa.array([ids[s:e].astype("<u8").tobytes() for s, e in zip(first[:-1], first[1:], strict=True)], pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("ia"), batch.column("ib"), strict=True):
-                x, y = np.unique(np.frombuffer(x.as_buffer(), "<u4")), np.unique(np.frombuffer(y.as_buffer(), "<u4"))
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= threshold * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -212,20 +219,93 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     return out
 
 
+def shingle_counts(docs: DataFrame) -> np.ndarray:
+    """Documents by bucket of their shingles: a table of fixed size, for the order of prefixes."""
+    step = 1 << 14
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(ORDER_BUCKETS, np.int64)
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                total += np.bincount((shingles(part.column(0))[0] % np.uint64(ORDER_BUCKETS)).astype(np.int64), minlength=ORDER_BUCKETS)
+        if total.any():
+            parts = range(0, ORDER_BUCKETS, step)
+            yield pa.RecordBatch.from_arrays([pa.array([s // step for s in parts], pa.int32()), pa.array([total[s : s + step].tobytes() for s in parts], pa.binary())], ["slice", "counts"])
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"slice": group["slice"][:1], "counts": [sum(np.frombuffer(x, np.int64) for x in group["counts"]).tobytes()]})
+
+    kind = "slice int, counts binary"
+    rows = dict(docs.select("text").mapInArrow(count, kind).groupBy("slice").applyInPandas(add, kind).collect())
+    return np.concatenate([np.frombuffer(rows[i], np.int64) for i in range(ORDER_BUCKETS // step)]) if rows else np.zeros(ORDER_BUCKETS, np.int64)
+
+
+def prefixes(docs: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, n, token, own): the rarest shingles of each text, as many as two sets of the
+    threshold's similarity cannot both do without.
+
+    Of a set of n its rarest n - ceil(t n) + 1 shingles meet the rarest of any similar set;
+    where the other is no smaller, n - ceil(2 t n / (1 + t)) + 1 are enough (``own``).
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(shingle_counts(docs), (1 << 31) - 1).astype(np.int32))
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("token", pa.int64()), ("own", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                ids, first = shingles(part.column(1))
+                n = np.diff(first)
+                owner = np.repeat(np.arange(len(n)), n)
+                order = np.lexsort((ids, often[(ids % np.uint64(ORDER_BUCKETS)).astype(np.int64)], owner))
+                place = np.arange(len(ids)) - first[owner]
+                far = (n - np.ceil(threshold * n - 1e-9) + 1)[owner]
+                near = (n - np.ceil(2 * threshold / (1 + threshold) * n - 1e-9) + 1)[owner]
+                take = place < far
+                at = owner[take]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array(n[at]), pa.array(ids[order][take].view(np.int64)), pa.array((place < near)[take])], schema=schema)
+
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, token bigint, own boolean")
+
+
+def by_prefix(members: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a over b, of members (doc_id, g) of different groups whose prefixes meet.
+
+    Of a shingle's documents those of its largest group are paired with the others only,
+    so that a group of thousands of copies does not meet itself.
+    """
+    few = members.count() <= BROADCAST_IDS
+    mine = docs.join(F.broadcast(members.select("doc_id")) if few else members.select("doc_id"), "doc_id", "left_semi")
+    # Rows that share an id are linked already; each has its own prefix.
+    tokens = materialize(prefixes(mine, threshold).join(members, "doc_id"))
+    sizes = tokens.groupBy("token", "g").agg(F.count("*").alias("k"), F.max("own").alias("own")).groupBy("token").agg(F.max_by("g", F.struct("k", "g")).alias("most"), F.count("*").alias("groups"), F.max("own").alias("any"))
+    met = materialize(tokens.join(sizes.where("groups > 1 and any").select("token", "most"), "token"))
+
+    def across(own: str, other: str) -> DataFrame:
+        x, y = met.where("g <> most"), met
+        x, y = (x.where("own").alias("x"), y.alias("y")) if own == "x" else (x.alias("x"), y.where("own").alias("y"))
+        fits = f"x.token = y.token and x.g <> y.g and {own}.n <= {other}.n and {own}.n >= {threshold - 1e-9!r} * {other}.n"
+        return x.join(y, F.expr(fits)).select(F.greatest("x.doc_id", "y.doc_id").alias("a"), F.least("x.doc_id", "y.doc_id").alias("b")).where("a <> b")
+
+    out = materialize(across("x", "y").union(across("y", "x")).distinct())
+    release(tokens, met)
+    return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(doc_id, group_id): the least id of each connected component; (a, b) with b < a.
 
-    Large and small stars in turn: every step shrinks the paths, windows spill,
-    and no node's neighbours are ever gathered in one row.
+    Large and small stars in turn: every step shrinks the paths, and no node's
+    neighbours are ever gathered in one row or one window.
     """
     edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     while True:
+        # Minima are aggregated and joined back: partial sums, and a hub's edges can be split.
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
-        low = F.least(F.min("v").over(Window.partitionBy("u")), F.col("u"))
-        large = both.withColumn("m", low).where("v > u and v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        m = F.min("b").over(Window.partitionBy("a"))
-        small = large.withColumn("m", m).select("a", "b", "m")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a").select("a", "b", "m")
         new = materialize(small.select("a", F.col("m").alias("b")).union(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
         state = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         release(edges)
@@ -245,42 +325,74 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     it and ``n_docs`` its number of ids. Null ids, and null texts or texts
     without a word, are in no group. An id that occurs in several rows is one
     document: its rows are linked, whatever their texts; alone it makes no group.
-    Other columns are ignored.
+    Texts are read whole, of whatever length, and compared by all their shingles. Other
+    columns are ignored; an empty table gives an empty result.
     """
     docs = id_text(docs, id_col, text_col)
     rows = materialize(sketch(docs))
-    set_key = Window.partitionBy("n", "fp")
-    leads = materialize(rows.select("doc_id", F.min("doc_id").over(set_key).alias("rep")))
+    firsts = rows.groupBy("n", "fp").agg(F.min("doc_id").alias("rep"))
+    leads = materialize(rows.select("doc_id", "n", "fp").join(firsts, ["n", "fp"]).select("doc_id", "rep"))
     same = leads.where("doc_id <> rep").distinct()
     reps = materialize(rows.join(leads.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "n", "fp"]))
-    by_band = Window.partitionBy("band")
-    met = materialize(_bands(reps).withColumn("low", F.min("doc_id").over(by_band)).withColumn("high", F.max("doc_id").over(by_band)).where("low <> high").select("band", "doc_id"))
+    bands = materialize(_bands(reps))
+    shared = bands.groupBy("band").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("band", "low")
+    met = materialize(bands.join(shared, "band"))
+    release(bands)
     linked, tried = same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), None
-    pairs = met.withColumn("b", F.min("doc_id").over(by_band)).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
+    pairs = met.where("doc_id <> low").select(F.col("doc_id").alias("a"), F.col("low").alias("b")).distinct()
     made = []
 
-    def untried(members: DataFrame) -> DataFrame:
+    def apart(members: DataFrame) -> DataFrame:
+        """Untried pairs of members (band, g, doc_id) of different groups."""
         x, y = members.toDF("band", "gx", "a"), members.toDF("band", "gy", "b")
-        return materialize(x.join(y, "band").where("gx <> gy and b < a").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+        return x.join(y, "band").where("gx <> gy and b < a").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
 
-    pairs = materialize(pairs)
-    while not pairs.isEmpty():
+    def open_buckets(part: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(members of small buckets with several groups, members of large ones)."""
+        mine = met.join(part.withColumnRenamed("group_id", "g"), "doc_id", "left").select("band", F.coalesce("g", "doc_id").alias("g"), "doc_id")
+        size = mine.groupBy("band").agg(F.count("*").alias("k"), F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("band", "k")
+        mine = materialize(mine.join(size, "band"))
+        made.append(mine)
+        return mine.where(F.col("k") <= SMALL_BUCKET).drop("k"), mine.where(F.col("k") > SMALL_BUCKET).drop("k")
+
+    def tested(pairs: DataFrame) -> None:
+        nonlocal linked, tried
         close = materialize(estimated(pairs, reps, threshold).distinct())
         found = verified(close, docs, threshold)
-        made += [close, found, pairs]
+        made.extend([close, found, pairs])
         linked = linked.union(found)
         tried = pairs if tried is None else tried.union(pairs)
+
+    pairs = materialize(pairs)
+    rest = pairs.isEmpty()
+    if rest:
+        made.append(pairs)
+    while not rest:
+        tested(pairs)
         part = components(linked)
         made.append(part)
-        mine = met.join(part.withColumnRenamed("group_id", "g"), "doc_id", "left").select("band", F.coalesce("g", "doc_id").alias("g"), "doc_id")
-        pairs = untried(mine.groupBy("band", "g").agg(F.min("doc_id").alias("doc_id")))
-        if pairs.isEmpty():
+        small, large = open_buckets(part)
+        # Least members of groups stand for them as long as that is a bounded number a bucket.
+        least = small.union(large).groupBy("band", "g").agg(F.min("doc_id").alias("doc_id"))
+        size = least.groupBy("band").count().where(F.col("count") <= SMALL_BUCKET).select("band")
+        pairs = materialize(apart(least.join(size, "band", "left_semi").select("band", "g", "doc_id")))
+        if rest := pairs.isEmpty():
             made.append(pairs)
-            pairs = untried(mine)
-    made.append(pairs)
+            hot = materialize(large.select("doc_id", "g").distinct())
+            made.append(hot)
+            last = apart(small)
+            if not hot.isEmpty():
+                more = by_prefix(hot, docs, threshold)
+                made.append(more)
+                last = last.union(more.join(tried, ["a", "b"], "left_anti")).distinct()
+            last = materialize(last)
+            if last.isEmpty():
+                made.append(last)
+            else:
+                tested(last)
     part = components(linked)
     whole = part.union(part.select(F.col("group_id").alias("doc_id"), "group_id")).distinct()
-    out = materialize(whole.withColumn("n_docs", F.count("*").over(Window.partitionBy("group_id"))).select("doc_id", "group_id", "n_docs"))
+    out = materialize(whole.join(whole.groupBy("group_id").agg(F.count("*").alias("n_docs")), "group_id").select("doc_id", "group_id", "n_docs"))
     release(rows, leads, reps, met, part, *made)
     return out
 

@@ -166,3 +166,73 @@ def test_copies_of_single_members_of_a_hot_group(spark):
             rows.append((len(rows) + 900, t))
     got = groups_of(N.groups(spark.createDataFrame(rows, "doc_id bigint, text string")))
     assert sum(got.get(i) != 0 for i, _ in rows[100:]) <= 3
+
+
+def tried_pairs(spark, rows, monkeypatch):
+    """(groups, number of pairs that were estimated)."""
+    seen = []
+    real = N.estimated
+    monkeypatch.setattr(N, "estimated", lambda pairs, *more: (seen.append(pairs.count()), real(pairs, *more))[1])
+    got = groups_of(N.groups(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    monkeypatch.undo()
+    return got, sum(seen)
+
+
+def test_templated_texts_make_few_pairs(spark, monkeypatch):
+    """Texts that share two thirds of their words, under the threshold: pairs grow as the texts do."""
+    rng = np.random.default_rng(13)
+    common = text(rng, 200)
+    tries = []
+    for n in (200, 400, 800):
+        rows = [(i, " ".join(common + [f"u{i}-{k}" for k in range(100)])) for i in range(n)]
+        got, pairs = tried_pairs(spark, rows, monkeypatch)
+        assert not got
+        tries.append(pairs)
+    assert tries[2] < 5 * tries[0] and tries[2] < 20 * 800, tries
+
+
+def test_drifting_versions_lose_no_pair(spark):
+    """Families whose members drift apart: every similar pair that shares a band is in one group."""
+    rng = np.random.default_rng(17)
+    rows = []
+    for family in range(60):
+        now = text(rng, 150)
+        for version in range(5):
+            rows.append((family * 10 + version, " ".join(now)))
+            now = edited(rng, now, 0.1)
+    got = groups_of(N.groups(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    ids, first = N.shingles(pa.array([t for _, t in rows]))
+    bands = N.registers(ids, first).reshape(len(rows), -1, N.BAND)
+    pairs, _ = near(rows)
+    place = {d: k for k, (d, _) in enumerate(rows)}
+    met = [(a, b) for a, b in pairs if (bands[place[a]] == bands[place[b]]).all(axis=1).any()]
+    assert len(met) > 100 and all(got.get(a, -1) == got.get(b, -2) for a, b in met)
+
+
+def test_prefixes_miss_no_similar_pair(spark):
+    """In large buckets: all pairs of different groups that reach the threshold are found, whatever their sizes."""
+    rng = np.random.default_rng(19)
+    base = text(rng, 120)
+    rows = []
+    for i in range(120):
+        words = edited(rng, base, float(rng.choice([0.02, 0.05, 0.1])))
+        rows.append((i, " ".join(words[: int(rng.integers(60, 121))] + text(rng, int(rng.integers(0, 40))))))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    members = df.selectExpr("doc_id", "doc_id % 40 as g")
+    found = {(r.a, r.b) for r in N.by_prefix(members, df, N.THRESHOLD).collect()}
+    pairs, _ = near(rows)
+    assert len(pairs) > 100 and {(a, b) for a, b in pairs if a % 40 != b % 40} <= found and all(a % 40 != b % 40 for a, b in found)
+
+
+def test_one_text_for_a_third_of_all_rows(spark):
+    rng = np.random.default_rng(23)
+    rows = [(i, "the same words in every third row of the table") for i in range(500)] + [(1000 + i, " ".join(text(rng, 30))) for i in range(1000)]
+    got = N.groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(got) == 500 and {(r.group_id, r.n_docs) for r in got} == {(0, 500)}
+
+
+def test_very_long_texts(spark):
+    rng = np.random.default_rng(29)
+    long = text(rng, 200_000)
+    rows = [(1, " ".join(long)), (2, " ".join(long[:150_000])), (3, " ".join(long[:20_000]))]
+    assert groups_of(N.groups(spark.createDataFrame(rows, "doc_id bigint, text string"))) == {1: 1, 2: 1}
