@@ -18,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexisearch.llm._spark import load, materialize, release
-from lexisearch.llm._text import mix, pieces
+from lexisearch.llm._spark import load, materialize, ranked, release
+from lexisearch.llm._text import mix
 
 CELLS = 24
 HASHES = 3
@@ -91,47 +91,39 @@ def peel(cells: np.ndarray) -> tuple[list[int], list[int]] | None:
     return sorted(found[0]), sorted(found[1])
 
 
-_DIGESTS = pa.schema([("doc_id", pa.int64()), ("head", pa.int64()), ("body", pa.int64()), ("digests", pa.list_(pa.int64()))])
-
-
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, head, body, digests): the first paragraph's digest, the whole text's, and the set, ascending."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                ids, heads, bodies, sets = [], [], [], []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    found = [digest(p) for p in paragraphs(text)]
-                    ids.append(doc), heads.append(found[0] if found else NO_HEAD), bodies.append(digest(text)), sets.append(sorted(set(found)))
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((ids, heads, bodies, sets), _DIGESTS, strict=True)], schema=_DIGESTS)
+    def number(c: Column) -> Column:
+        return F.conv(F.substring(F.md5(c), 1, 15), 16, 10).cast("bigint")
 
-    return docs.mapInArrow(run, "doc_id bigint, head bigint, body bigint, digests array<bigint>")
+    found = F.transform(F.filter(F.split("text", "\n"), lambda p: p != ""), number)
+    rows = docs.select("doc_id", number(F.col("text")).alias("body"), found.alias("found"))
+    return rows.select("doc_id", F.coalesce(F.try_element_at("found", F.lit(1)), F.lit(NO_HEAD)).alias("head"), "body", F.array_sort(F.array_distinct("found")).alias("digests"))
 
 
-_KEY = "head bigint, place int"
-_AT = [("head", pa.int64()), ("place", pa.int32())]
+_AT = ("place", pa.int64())
 
 
 def _sketches(rows: DataFrame, cells: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [sketch(np.array(x or [], np.uint64), cells).tobytes() for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], schema=pa.schema([*_AT, ("sketch", pa.binary())]))
+            made = [sketch(np.array(x or [], np.uint64), cells).tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], schema=pa.schema([_AT, ("sketch", pa.binary())]))
 
-    return rows.select("head", "place", "digests").mapInArrow(run, f"{_KEY}, sketch binary")
+    return rows.select("place", "digests").mapInArrow(run, "place bigint, sketch binary")
 
 
 def _peeled(pairs: DataFrame) -> DataFrame:
     """The differing digests of each version's sketch and the one before; null where peeling stalls."""
-    schema = pa.schema([*_AT, ("added", pa.list_(pa.int64())), ("removed", pa.list_(pa.int64()))])
+    schema = pa.schema([_AT, ("added", pa.list_(pa.int64())), ("removed", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [peel(subtract(np.frombuffer(new, _CELL), np.frombuffer(old, _CELL))) or (None, None) for new, old in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([g[i] for g in got], pa.list_(pa.int64())) for i in (0, 1))], schema=schema)
+            got = [peel(subtract(np.frombuffer(new, _CELL), np.frombuffer(old, _CELL))) or (None, None) for new, old in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([g[i] for g in got], pa.list_(pa.int64())) for i in (0, 1))], schema=schema)
 
-    return pairs.select("head", "place", "new", "old").mapInArrow(run, f"{_KEY}, added array<bigint>, removed array<bigint>")
+    return pairs.select("place", "new", "old").mapInArrow(run, "place bigint, added array<bigint>, removed array<bigint>")
 
 
 def changes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells: int = CELLS) -> DataFrame:
@@ -139,46 +131,47 @@ def changes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cel
 
     ``previous_id`` is the version before it, null for a first one, which adds all it
     has. ``added`` and ``removed`` are ascending digests. Paragraphs are non-empty
-    lines; repeats in a document count once. Documents without a paragraph (empty text)
-    are versions of each other, with nothing to add. Null text has no row. Versions are in order of id,
-    then of the whole text's digest, null ids first; repeated rows are versions without
-    a change. Other columns are ignored; an empty table gives an empty result.
+    lines; repeats in a document count once; texts may be of any length. Documents without
+    a paragraph (empty text) are versions of each other, with nothing to add. Null text has
+    no row. Versions are in order of id, then of the whole text's digest, null ids first;
+    repeated rows are versions without a change. Other columns are ignored; an empty table
+    gives an empty result.
     """
     if cells < HASHES:
         raise ValueError("a sketch has three cells at least")
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    taken = materialize(digests(docs))
-    chain = Window.partitionBy("head").orderBy(F.asc_nulls_first("doc_id"), "body")
-    key = ["head", "place"]
-    # A row is known by its place in the sorted chain, so ids may repeat or be null.
-    numbered = materialize(taken.withColumn("place", F.row_number().over(chain)).withColumn("previous_id", F.lag("doc_id").over(chain)))
-    last = numbered.groupBy("head").agg(F.max("place").alias("n")).where("n > 1").select("head")
-    versions = materialize(numbered.join(last, "head", "left_semi").select(*key, "digests"))
-    todo = versions.where("place > 1").select(*key)
-    done, size, made = None, max(HASHES, cells // HASHES * HASHES), [taken, versions]
+    taken = materialize(digests(docs).withColumn("uid", F.monotonically_increasing_id()))
+    # A row is known by its place in the order of all rows, so ids may repeat or be null, and
+    # a first paragraph that a third of all texts share is in many tasks.
+    order = ["head", "doc_id", "body", "uid"]
+    numbered = ranked(taken.select(*order), order, "place")
+    before = numbered.select((F.col("place") + 1).alias("place"), F.col("head").alias("old_head"), F.col("doc_id").alias("previous_id"))
+    chained = materialize(numbered.join(before, "place", "left").select("uid", "place", "previous_id", F.coalesce(F.col("head") == F.col("old_head"), F.lit(False)).alias("later")))
+    all_of = materialize(taken.select("uid", "doc_id", "digests").join(chained, "uid"))
+    todo = chained.where("later").select("place")
+    done, size, made = None, max(HASHES, cells // HASHES * HASHES), [taken, numbered, chained]
     while True:
-        need = todo.union(todo.select("head", F.col("place") - 1)).distinct()
-        held = materialize(_sketches(versions.join(need, key, "left_semi"), size))
-        old = held.select("head", (F.col("place") + 1).alias("place"), F.col("sketch").alias("old"))
-        level = materialize(_peeled(todo.join(held.withColumnRenamed("sketch", "new"), key).join(old, key)))
+        need = todo.union(todo.select(F.col("place") - 1)).distinct()
+        held = materialize(_sketches(all_of.join(need, "place", "left_semi"), size))
+        old = held.select((F.col("place") + 1).alias("place"), F.col("sketch").alias("old"))
+        level = materialize(_peeled(todo.join(held.withColumnRenamed("sketch", "new"), "place").join(old, "place")))
         release(held)
         made.append(level)
         peeled = level.where("added is not null")
         done = peeled if done is None else done.union(peeled)
-        todo = level.where("added is null").select(*key)
+        todo = level.where("added is null").select("place")
         if todo.isEmpty():
             break
         size *= 2
-    first = F.col("place") == 1
-    out = numbered.join(done, key, "left").select(
+    out = all_of.join(done, "place", "left").select(
         "doc_id",
-        "previous_id",
+        F.when(F.col("later"), F.col("previous_id")).alias("previous_id"),
         F.size("digests").cast("bigint").alias("n_paragraphs"),
-        F.when(first, F.col("digests")).otherwise(F.col("added")).alias("added"),
-        F.when(first, F.array().cast("array<bigint>")).otherwise(F.col("removed")).alias("removed"),
+        F.when(F.col("later"), F.col("added")).otherwise(F.col("digests")).alias("added"),
+        F.when(F.col("later"), F.col("removed")).otherwise(F.array().cast("array<bigint>")).alias("removed"),
     )
     out = materialize(out)
-    release(numbered, *made)
+    release(all_of, *made)
     return out
 
 
