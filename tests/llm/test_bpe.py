@@ -65,17 +65,19 @@ def test_table(odd, docs, rows_of):
 
 
 def brute(sizes, row):
-    rooms, out = [], []
-    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-        fit = [(room, k) for k, room in enumerate(rooms) if room >= sizes[i]]
+    """Piece by piece; of rows with equal room the one that came to it first."""
+    rooms, since, out = [], [], []
+    for now, i in enumerate(sorted(range(len(sizes)), key=lambda i: -sizes[i])):
+        fit = [(room, since[k], k) for k, room in enumerate(rooms) if room >= sizes[i]]
         if fit:
-            best = min(r for r, _ in fit)
-            k = next(k for r, k in fit if r == best)
+            k = min(fit)[2]
         else:
             k = len(rooms)
             rooms.append(row)
+            since.append(now)
             out.append([])
         rooms[k] -= sizes[i]
+        since[k] = now
         out[k].append(i)
     return out
 
@@ -83,9 +85,20 @@ def brute(sizes, row):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 17), max_size=60), st.sampled_from([17, 20, 32]))
 def test_best_fit(sizes, row):
-    got, want = tokenbin.best_fit(sizes, row), brute(sizes, row)
-    assert sorted(sum(sizes[i] for i in g) for g in got) == sorted(sum(sizes[i] for i in w) for w in want)
-    assert sorted(sum(got, [])) == list(range(len(sizes)))
+    """The plan by lengths puts every piece where piece by piece would."""
+    from collections import Counter
+
+    plan, rows = tokenbin.best_fit(dict(Counter(sizes)), row)
+    got, order = [[] for _ in range(rows)], sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    for size in set(sizes):
+        for rank, item in enumerate(i for i in order if sizes[i] == size):
+            p = [p for p in plan[size] if p.first <= rank][-1]
+            j = rank - p.first
+            got[p.row + j // p.each].append((p.at + j % p.each * size, item))
+    for g in got:
+        g.sort()
+        assert [at for at, _ in g] == [sum(sizes[i] for _, i in g[:k]) for k in range(len(g))]
+    assert [[i for _, i in g] for g in got] == brute(sizes, row)
 
 
 def unpacked(rows, row, kind="<u2"):
@@ -103,7 +116,7 @@ def unpacked(rows, row, kind="<u2"):
 
 @pytest.mark.parametrize("row,kind", [(64, "<u2"), (70000, "<u4")])
 def test_rows_give_the_texts_back(pair, docs, row, kind):
-    got = unpacked(tokenbin.pack_tokens(docs, row=row, pool_tokens=20000).collect(), row, kind)
+    got = unpacked(tokenbin.pack_tokens(docs, row=row).collect(), row, kind)
     for r in docs.collect():
         whole = sum((got[r.doc_id, i][0] for i in range(len([k for k in got if k[0] == r.doc_id]))), [])
         assert whole[-1] == tokenbin.END and whole[:-1] == pair[1].encode_ordinary(r.text)
@@ -122,3 +135,16 @@ def test_packed_table(odd):
 def test_written_matrix(docs, spark, tmp_path):
     tokenbin.write_packed(tokenbin.pack_tokens(docs), str(tmp_path / "m"))
     assert spark.read.parquet(str(tmp_path / "m")).where(f"length(input_ids) <> {2 * tokenbin.ROW}").count() == 0
+
+
+def test_rows_do_not_follow_partitions(docs):
+    one, two, eight = (sorted(map(repr, tokenbin.pack_tokens(docs.repartition(n)).collect())) for n in (1, 2, 8))
+    assert one == two == eight
+    pieces = [n for r in tokenbin.pack_tokens(docs).collect() for n in np.diff(r.cu_seqlens).tolist()]
+    assert len(one) == len(brute(pieces, tokenbin.ROW))
+
+
+def test_one_text_for_half_of_all_rows(spark):
+    rows = spark.createDataFrame([(1, "the same text") for _ in range(3000)] + [(i, "other words " * (i % 50)) for i in range(3000)], "doc_id bigint, text string")
+    got = unpacked(tokenbin.pack_tokens(rows).collect(), tokenbin.ROW)
+    assert len(got[1, 0]) == 3001 and sum(map(len, got.values())) == 6000
