@@ -1,36 +1,45 @@
 """Packing by lexical retrieval.
 
-Documents are dealt to shards by a hash; each shard holds an inverted index of
-BM25 impacts. Inside a shard, in order of id, each unused document opens a window
-and asks the index for its unused neighbours, with all its distinct terms as the
-query; the best that still fits joins, until none that fits has a positive score.
-Document counts, lengths and document frequencies are those of the whole corpus,
-so a shard scores as the whole would; the number of shards grows with the corpus
-and a shard's size stays.
+Every document is in one shard of a BM25 inverted index. Shards hold texts that are
+alike, so that a document's nearest neighbours are mostly in its own: documents are laid
+out in one order, by the leaves of a tree of halving planes (principal directions of
+hashed TF-IDF vectors, fitted on a sample of ``SAMPLE`` documents), and the order is cut
+into shards of about ``SHARD_WORDS`` words. Documents with the same least shingle hash,
+as copies have with the chance of their similarity, go to the leaf of the least of them,
+and lie together there. A group of copies of any size is thus cut as all else is.
+
+Inside a shard, in order of id, each unused document opens a window and asks the index
+for its unused neighbours, with all its distinct terms as the query; the best that still
+fits joins, until none that fits has a positive score. Document counts, lengths and
+document frequencies are exact and those of the whole corpus, so a shard scores as the
+whole would.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexisearch.llm._spark import id_text, load
-from lexisearch.llm._text import flat, pieces, word_spans, words
+from lexisearch.llm._spark import id_text, load, materialize, ranked
+from lexisearch.llm._text import flat, mix, pieces, word_spans, words
 
 WINDOW = 2048
 K1, B = 1.2, 0.75
 #: A shard has about so many words or documents, whichever makes more shards.
 SHARD_WORDS = 1 << 20
 SHARD_DOCS = 4096
-#: Document frequencies are counted in so many hash buckets.
-BUCKETS = 1 << 20
-_SLICE = 1 << 14
+#: The tree that lays documents out is fitted on about so many of them, and is so deep.
+SAMPLE = 4096
+DEPTH = 12
+#: Length of the vectors it halves, principal directions it has to choose from, and buckets of terms for the vectors' weights.
+WIDTH, DIRECTIONS, BUCKETS = 512, 24, 1 << 16
 SEPARATOR = "\n\n"
 
 
@@ -44,41 +53,150 @@ def _terms(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return (key[at] >> np.uint64(44)).astype(np.int64), key[at] & np.uint64((1 << 44) - 1), np.diff(np.append(at, len(key)))
 
 
-def statistics(docs: DataFrame) -> tuple[int, int, np.ndarray]:
-    """(documents with a word, their words, documents by term bucket) over the whole corpus.
-
-    Each task sends one count row for each slice of the buckets; slices are summed
-    in parallel and a table of fixed size reaches the driver.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, total = np.zeros(BUCKETS, np.int32), np.zeros(2, np.int64)
+@dataclass(frozen=True)
+class Layout:
+    """Weights of terms by bucket, the mean vector, directions, and for each node of the
+    tree (its children at 2i+1 and 2i+2) the direction that halves it and where."""
+
+    idf: np.ndarray
+    mean: np.ndarray
+    directions: np.ndarray
+    axis: np.ndarray
+    at: np.ndarray
+
+
+def vectors(owner: np.ndarray, term: np.ndarray, tf: np.ndarray, n: int, idf: np.ndarray) -> np.ndarray:
+    """Hashed TF-IDF vectors of length 1; zeros for texts without a term."""
+    h = mix(term)
+    weight = idf[(h % np.uint64(BUCKETS)).astype(np.int64)] * (tf / (tf + K1)) * np.where(h >> np.uint64(63), 1.0, -1.0)
+    place = (h >> np.uint64(20)) % np.uint64(WIDTH)
+    v = np.bincount(owner * WIDTH + place.astype(np.int64), weight, n * WIDTH).reshape(n, WIDTH)
+    return v / np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None]
+
+
+def _spots(v: np.ndarray, layout_mean: np.ndarray, directions: np.ndarray) -> np.ndarray:
+    """Places along the directions, rounded so that they do not follow the batches."""
+    return np.round((v - layout_mean) @ directions.T, 6)
+
+
+def fitted(terms: list[tuple[np.ndarray, np.ndarray]], depth: int = DEPTH) -> Layout:
+    """The layout for a sample, given as (terms, counts) of each text."""
+    n = len(terms)
+    owner = np.repeat(np.arange(n), [len(t) for t, _ in terms])
+    term = np.concatenate([t for t, _ in terms]) if n else np.empty(0, np.uint64)
+    tf = np.concatenate([c for _, c in terms]) if n else np.empty(0, np.int64)
+    df = np.bincount((mix(term) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+    idf = np.log1p(n / (df + 1.0))
+    v = vectors(owner, term, tf, n, idf)
+    mean = v.mean(axis=0) if n else np.zeros(WIDTH)
+    directions = np.linalg.svd(v - mean, full_matrices=False)[2][:DIRECTIONS] if n else np.zeros((1, WIDTH))
+    x = _spots(v, mean, directions)
+    nodes = (1 << depth) - 1
+    axis, at = np.zeros(nodes, np.int32), np.zeros(nodes)
+    inside = {0: np.arange(n)}
+    for i in range(nodes):
+        mine = inside.pop(i, np.empty(0, np.int64))
+        if len(mine) > 1:
+            axis[i] = x[mine].var(axis=0).argmax()
+            y = np.sort(x[mine, axis[i]])
+            at[i] = (y[(len(y) - 1) // 2] + y[(len(y) - 1) // 2 + 1]) / 2 + 1e-7
+            over = x[mine, axis[i]] > at[i]
+            inside[2 * i + 1], inside[2 * i + 2] = mine[~over], mine[over]
+    return Layout(idf, mean, directions, axis, at)
+
+
+def leaves(v: np.ndarray, m: Layout) -> np.ndarray:
+    x, node = _spots(v, m.mean, m.directions), np.zeros(len(v), np.int64)
+    while len(node) and node[0] < len(m.axis):
+        node = 2 * node + 1 + (x[np.arange(len(x)), m.axis[node]] > m.at[node])
+    return node - len(m.axis)
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE) -> Layout:
+    """The layout, fitted in one task on about ``sample`` documents, which a hash picks."""
+    n = docs.count()
+    span = 1 << 40
+    few = docs.select(F.xxhash64("text", "doc_id").alias("h"), "text").where(F.pmod("h", F.lit(span)) < min(span, span * sample // max(n, 1) + 1))
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
-                h, first = words(part.column(0))
-                total += (np.count_nonzero(np.diff(first)), len(h))
-                df += np.bincount((_terms(h, first)[1] % BUCKETS).astype(np.int64), minlength=BUCKETS).astype(np.int32)
-        if total[0]:
-            parts = np.arange(0, BUCKETS, _SLICE)
-            yield pa.RecordBatch.from_arrays([pa.array([*(parts // _SLICE), -1], pa.int32()), pa.array([*(df[s : s + _SLICE].astype("<i8").tobytes() for s in parts), total.astype("<i8").tobytes()], pa.binary())], ["slice", "counts"])
+                h, first = words(part.column(1))
+                owner, term, tf = _terms(h, first)
+                at = np.searchsorted(owner, np.arange(part.num_rows + 1))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([term[a:b].tobytes() for a, b in pairwise(at)], pa.binary()), pa.array([tf[a:b].tobytes() for a, b in pairwise(at)], pa.binary())], ["h", "terms", "tf"])
+
+    def run(table: pa.Table) -> pa.Table:
+        # Of rows alike, of which there may be many, one is enough.
+        rows = sorted(set(zip(*(c.to_pylist() for c in table.columns[:3]), strict=True)))[: 2 * sample]
+        m = fitted([(np.frombuffer(t, np.uint64), np.frombuffer(c, np.int64)) for _, t, c in rows])
+        return pa.table({"model": pa.array([pickle.dumps(m)], pa.binary())})
+
+    one = few.mapInArrow(terms, "h bigint, terms binary, tf binary").dropDuplicates(["h"]).withColumn("all", F.lit(0))
+    found = one.groupBy("all").applyInArrow(run, "model binary").collect()
+    return pickle.loads(found[0][0]) if found else fitted([])
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"slice": group["slice"][:1], "counts": [sum(np.frombuffer(x, "<i8") for x in group["counts"]).tobytes()]})
 
-    kind = "slice int, counts binary"
-    rows = docs.select("text").mapInArrow(count, kind).groupBy("slice").applyInPandas(add, kind).collect()
-    found = {r[0]: np.frombuffer(r[1], "<i8") for r in rows}
-    if not found:
-        return 0, 0, np.zeros(BUCKETS, np.int64)
-    return int(found[-1][0]), int(found[-1][1]), np.concatenate([found[k] for k in range(BUCKETS // _SLICE)])
+def routed(docs: DataFrame, layout: Layout) -> DataFrame:
+    """(doc_id, h, leaf, least, n_words) of texts that have a word; ``h`` is the text's hash, ``least`` its least shingle hash."""
+    shared = docs.sparkSession.sparkContext.broadcast(layout)
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("leaf", pa.int32()), ("least", pa.int64()), ("n_words", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                w, first = words(part.column(2))
+                n = np.diff(first)
+                v = vectors(*_terms(w, first), len(n), shared.value.idf)
+                ids, at = neighbours(w, first)
+                full = n > 0
+                least = np.full(len(n), np.iinfo(np.int64).max)
+                if len(ids):
+                    least[full] = np.minimum.reduceat(ids, at[:-1][full])
+                columns = [part.column(0), part.column(1), pa.array(leaves(v, shared.value).astype(np.int32)), pa.array(least), pa.array(n)]
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(full)) for c in columns], schema=schema)
+
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    return rows.mapInArrow(run, "doc_id bigint, h bigint, leaf int, least bigint, n_words bigint")
+
+
+def neighbours(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(mixed hashes of each text's runs of three words, index of each text's first); a shorter text has one."""
+    n = np.diff(first)
+    doc = np.repeat(np.arange(len(n)), n)
+    padded = np.concatenate([h, np.zeros(2, np.uint64)])
+    i = np.arange(len(h))
+    take = (i + 3 <= first[1:][doc]) | (i == first[:-1][doc])
+    i, doc = i[take], doc[take]
+    end = first[1:][doc]
+    x = padded[i] * np.uint64(0x9E3779B97F4A7C15)
+    x += np.where(i + 1 < end, padded[i + 1], np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x += np.where(i + 2 < end, padded[i + 2], np.uint64(2)) * np.uint64(0x165667B19E3779F9)
+    return mix(x).view(np.int64), np.searchsorted(doc, np.arange(len(n) + 1))
+
+
+def shards(routes: DataFrame, shard_words: int, shard_docs: int) -> DataFrame:
+    """(doc_id, h, shard) of each different row: the order cut by words, or by documents where these are more.
+
+    ``routes`` has repeated rows once, with their number in ``copies``; they share a shard
+    unless they are more than it holds, and then are dealt to as many as they fill.
+    """
+    leaf = routes.groupBy("least").agg(F.min_by("leaf", F.struct("doc_id", "h")).alias("home"))
+    weight = F.greatest("n_words", F.lit(max(1, shard_words // shard_docs))) * F.col("copies")
+    laid = routes.select("doc_id", "h", "least", weight.alias("weight"), "copies").join(leaf, "least")
+    placed = ranked(laid.select("home", "least", "doc_id", "h", "weight", "copies"), ["home", "least", "doc_id", "h"], "place", "weight")
+    begin = F.col("weight_before")
+    out = placed.select("doc_id", "h", F.floor(begin / shard_words).cast("bigint").alias("shard"), F.greatest(F.lit(1), F.ceil(F.col("weight") / shard_words)).cast("int").alias("spread"))
+    return out
 
 
 class Index:
     """BM25 impacts of a shard's pieces, by term."""
 
     def __init__(self, owner: np.ndarray, term: np.ndarray, tf: np.ndarray, size: np.ndarray, idf: np.ndarray, average: float):
+        """``idf`` of each posting."""
         self.n = len(size)
-        weight = idf[(term % np.uint64(BUCKETS)).astype(np.int64)] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[owner] / average)))
+        weight = idf * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[owner] / average)))
         order = np.argsort(term, kind="stable")
         term = term[order]
         head = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.empty(0, np.int64)
@@ -129,9 +247,9 @@ def fill(index: Index, size: np.ndarray, window: int) -> list[list[tuple[int, fl
     return out
 
 
-PACKED = "shard int, window_no int, doc_ids array<bigint>, parts array<int>, scores array<double>, n_words int, text string"
+PACKED = "shard bigint, window_no int, doc_ids array<bigint>, parts array<int>, scores array<double>, n_words int, text string"
 _PACKED = pa.schema(
-    [("shard", pa.int32()), ("window_no", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("parts", pa.list_(pa.int32())), ("scores", pa.list_(pa.float64())), ("n_words", pa.int32()), ("text", pa.string())]
+    [("shard", pa.int64()), ("window_no", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("parts", pa.list_(pa.int32())), ("scores", pa.list_(pa.float64())), ("n_words", pa.int32()), ("text", pa.string())]
 )
 
 
@@ -140,8 +258,12 @@ def _cut(text: bytes, start: np.ndarray, window: int) -> list[bytes]:
     return [text[a:b] for a, b in pairwise(edges)]
 
 
-def pack_shard(ids: list, texts: pa.Array, idf: np.ndarray, average: float, window: int) -> list[tuple[list, list[int], list[float], int, bytes]]:
-    """The windows of one shard: (ids, part numbers, scores, words, text)."""
+def pack_shard(ids: list, texts: pa.Array, known: tuple[np.ndarray, np.ndarray], n_docs: int, average: float, window: int) -> list[tuple[list, list[int], list[float], int, bytes]]:
+    """The windows of one shard: (ids, part numbers, scores, words, text).
+
+    ``known`` has the terms, ascending, that several texts of the shard have, and the
+    corpus's document frequencies of these; no other term joins two texts.
+    """
     h, first = words(texts)
     n = np.diff(first)
     data, off = flat(texts)
@@ -159,7 +281,11 @@ def pack_shard(ids: list, texts: pa.Array, idf: np.ndarray, average: float, wind
         size = np.array([min(window, int(first[np.searchsorted(first, b, "right")]) - b) for b in begin])
         edge = np.concatenate([[0], np.cumsum(size)])
         take = np.arange(edge[-1]) + np.repeat(np.array(begin) - edge[:-1], size)
-        index = Index(*_terms(h[take], edge), size, idf, average)
+        owner, term, tf = _terms(h[take], edge)
+        at = np.minimum(np.searchsorted(known[0], term), max(len(known[0]) - 1, 0))
+        # The parts of one long text may share a term that no other text of the shard has.
+        df = np.where(known[0][at] == term, known[1][at], 1) if len(known[0]) else np.ones(len(term))
+        index = Index(owner, term, tf, size, np.log1p((n_docs - df + 0.5) / (df + 0.5)), average)
         for mine in fill(index, size, window):
             at = [p for p, _ in mine]
             out.append(([doc[p] for p in at], [part[p] for p in at], [s for _, s in mine], int(size[at].sum()), SEPARATOR.encode().join(text[p] for p in at)))
@@ -176,22 +302,51 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     each; a null id stays null. Rows of equal ids are ordered by text. Other columns
     are ignored; an empty table gives no windows.
     """
-    spark = docs.sparkSession
-    docs = id_text(docs, id_col, text_col)
-    n, total, df = statistics(docs)
-    shards = max(1, -(-total // shard_words), -(-n // shard_docs))
+    docs = id_text(docs, id_col, text_col).where("text is not null")
+    found = routed(docs, fit(docs)).groupBy("doc_id", "h").agg(F.first("leaf").alias("leaf"), F.first("least").alias("least"), F.first("n_words").alias("n_words"), F.count("*").alias("copies"))
+    routes = materialize(found)
+    n, total = routes.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.sum(F.col("n_words") * F.col("copies")), F.lit(0))).first()
     average = total / max(n, 1)
-    shared = spark.sparkContext.broadcast(np.log1p((n - df + 0.5).clip(0.5) / (df + 0.5)).astype(np.float32))
-
-    def run(table: pa.Table) -> pa.Table:
+    where = shards(routes, shard_words, shard_docs)
+    # Null ids take part in the join by a column of their own.
+    key = ["doc", "known", "h"]
+    of = lambda df: df.withColumn("doc", F.coalesce("doc_id", F.lit(0))).withColumn("known", F.col("doc_id").isNotNull())
+    keyed = of(docs.withColumn("h", F.xxhash64("text")))
+    placed = of(where).drop("doc_id")
+    columns = ["doc_id", "text", F.col("shard").cast("bigint").alias("shard"), "copies"]
+    dealt = keyed.join(placed.where("spread = 1").drop("spread"), key).withColumn("copies", F.lit(1).cast("bigint")).select(*columns)
+    hot = placed.where("spread > 1")
+    if not hot.isEmpty():
+        # Copies of one row that fill several shards travel once to each. There are no more such rows than shards.
+        one = keyed.join(F.broadcast(hot), key).groupBy(*key, "shard", "spread").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("all"))
+        turns = one.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("spread") - 1)))
+        mine = F.expr("all div spread + if(turn < all % spread, 1, 0)")
+        dealt = dealt.union(turns.withColumn("shard", F.col("shard") + F.col("turn")).withColumn("copies", mine).where("copies > 0").select(*columns))
+
+    def count(table: pa.Table) -> pa.Table:
+        h, first = words(table.column("text").combine_chunks())
+        owner, term, _ = _terms(h, first)
+        term, back = np.unique(term, return_inverse=True)
+        n = np.bincount(back, table.column("copies").to_numpy()[owner], len(term)).astype(np.int64)
+        return pa.table([pa.array(np.full(len(term), table.column("shard")[0].as_py())), pa.array(term.astype(np.int64)), pa.array(n)], names=["shard", "term", "n"])
+
+    def run(table: pa.Table, counts: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return _PACKED.empty_table()
+        table = table.take(pa.array(np.repeat(np.arange(table.num_rows), table.column("copies").to_numpy())))
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
-        made = pack_shard(table.column("doc_id").to_pylist(), table.column("text").combine_chunks(), shared.value, average, window)
+        counts = counts.sort_by("term")
+        known = counts.column("term").to_numpy().astype(np.uint64), counts.column("df").to_numpy()
+        made = pack_shard(table.column("doc_id").to_pylist(), table.column("text").combine_chunks(), known, n, average, window)
         k = len(made)
         columns = list(zip(*made, strict=True)) or [[]] * 5
-        return pa.Table.from_arrays([pa.array([table.column("shard")[0].as_py()] * k, pa.int32()), pa.array(range(k), pa.int32()), *(pa.array(c if f.name != "text" else [x.decode() for x in c], f.type) for c, f in zip(columns, list(_PACKED)[2:], strict=True))], schema=_PACKED)
+        return pa.Table.from_arrays([pa.array([table.column("shard")[0].as_py()] * k, pa.int64()), pa.array(range(k), pa.int32()), *(pa.array(c if f.name != "text" else [x.decode() for x in c], f.type) for c, f in zip(columns, list(_PACKED)[2:], strict=True))], schema=_PACKED)
 
-    dealt = docs.where("text is not null").withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInArrow(run, PACKED)
+    # One plan: the texts are shuffled to their shards once, for counting and for packing.
+    local = dealt.groupBy("shard").applyInArrow(count, "shard bigint, term bigint, n bigint")
+    df = local.groupBy("term").agg(F.sum("n").alias("df"), F.max("n").alias("most")).where("most > 1").select("term", "df")
+    needed = local.where("n > 1").join(df, "term").select("shard", "term", "df")
+    return dealt.groupBy("shard").cogroup(needed.groupBy("shard")).applyInArrow(run, PACKED)
 
 
 def op5_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
