@@ -10,10 +10,17 @@ from lexisearch.llm import hmm as M
 
 
 def toy(states=3, symbols=4, seed=0):
-    m = M.initial(np.arange(max(symbols - M.CLASSES, 0), dtype=np.uint64), states, seed)
     rng = np.random.default_rng(seed)
-    emit = rng.random((states, symbols))
-    return M.Model(m.vocabulary, m.start, m.move, emit / emit.sum(axis=1, keepdims=True))
+    start, move, emit = rng.random(states) + 1, rng.random((states, states)) + 1, rng.random((states, symbols))
+    return M.Model(np.empty(0, np.uint64), start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
+
+
+WORD = re.compile(r"[0-9a-z\u0080-\U0010ffff]+")
+
+
+def counted(docs, share):
+    counts, letters = M.word_counts(docs)
+    return M.vocabulary(counts, int(letters[256]), share), int(letters[256]), counts, letters
 
 
 def enumerate_all(m, seq):
@@ -53,55 +60,109 @@ def test_long_sequences_do_not_underflow():
 
 def test_symbols():
     vocab = np.sort(M.words(pa.array(["the cat"]))[0])
-    s, heads, first, lines = M.symbols(pa.array(["The cat\n\nsat é1", "", None, "the"], pa.string()), vocab)
+    s, heads, first, lines, h = M.symbols(pa.array(["The cat\n\nsat é1", "", None, "the"], pa.string()), vocab)
     assert np.diff(first).tolist() == [4, 0, 0, 1] and np.diff(lines).tolist() == [2, 0, 0, 1] and heads.tolist() == [0, 2, 4, 5]
-    assert (s[:2] < 2).all() and s[0] == s[4] and s[2] == 2 and s[3] == 2 + 3 + 0
+    assert (s[:2] < 2).all() and s[0] == s[4] and s[2] == 2 and s[3] == 2 + 3 + 0 and h[0] == h[4]
     assert s.max() < 2 + M.CLASSES
     assert (M.symbols(pa.array(["a bb"]), np.empty(0, np.uint64))[0] < M.CLASSES).all()
 
 
-def test_vocabulary(docs):
-    words = [w for r in docs.collect() for w in re.findall(r"[0-9a-z\u0080-\U0010ffff]+", r.text.lower())]
-    often = {w for w in set(words) if words.count(w) >= 0.001 * len(words)}
-    got = M.vocabulary(docs, 0.001)
-    assert sorted(got) == sorted(M.words(pa.array([" ".join(sorted(often))]))[0]) and (np.diff(got.astype(object)) > 0).all()
+def test_counts_and_vocabulary(docs):
+    from collections import Counter
+
+    want = Counter(w for r in docs.collect() for w in WORD.findall(r.text.lower()))
+    vocab, total, counts, letters = counted(docs.repartition(3), 0.001)
+    assert total == sum(want.values())
+    assert {r.spelling.decode(): r.n for r in counts.collect()} == want
+    spelled = Counter(b for w, n in want.items() for b in w.encode() * n)
+    assert letters[:256].tolist() == [spelled[b] for b in range(256)]
+    often = {w for w, n in want.items() if n >= 0.001 * total}
+    assert sorted(vocab) == sorted(M.words(pa.array([" ".join(sorted(often))]))[0]) and (np.diff(vocab.astype(object)) > 0).all()
+
+
+def test_chances_of_all_words_sum_to_one(docs):
+    """Of each class: its counted words, and all spellings that no text has, together."""
+    vocab, total, counts, letters = counted(docs, 0.001)
+    q, stop, kind = (np.exp(x) for x in M.spelled(letters))
+    assert q.sum() + stop == pytest.approx(1) and kind.sum() == pytest.approx(1 - stop, abs=1e-6)  # a word is not empty
+    chance = {r.word: r.chance for r in M.rare_chances(counts, letters, 0.001 * total).collect()}
+    rare = counts.where(f"n < {0.001 * total}").collect()
+    assert set(chance) == {r.word for r in rare}
+    for c in {r["class"] for r in rare}:
+        mine = [r for r in rare if r["class"] == c]
+        base = [math.exp(sum(math.log(q[b]) for b in r.spelling)) * stop / kind[c] for r in mine]
+        left = M.DISCOUNT * len(mine) / sum(r.n for r in mine) * (1 - sum(base))
+        assert sum(math.exp(chance[r.word]) for r in mine) + left == pytest.approx(1, abs=1e-4)
+    # A word that occurs twice is more than twice as likely as one that occurs once.
+    by_n = {n: np.mean([chance[r.word] for r in rare if r.n == n and r["class"] == 8]) for n in (1, 2)}
+    assert by_n[2] > by_n[1] + math.log(2)
 
 
 def test_training_over_partitions_is_training_at_once(docs):
     docs = docs.select("doc_id", "text")
-    vocab = M.vocabulary(docs, 0.001)
-    one = M.train(M.encoded(docs.coalesce(1), vocab), vocab, 4, 3)
-    many = M.train(M.encoded(docs.repartition(6), vocab), vocab, 4, 3)
+    vocab, total, *_ = counted(docs, 0.001)
+    one = M.train(M.encoded(docs.coalesce(1), vocab), vocab, total, 4, 3)
+    many = M.train(M.encoded(docs.repartition(6), vocab), vocab, total, 4, 3)
     assert np.allclose(one.emit, many.emit) and np.allclose(one.move, many.move) and np.allclose(one.log_likelihood, many.log_likelihood)
     assert one.log_likelihood[0] < one.log_likelihood[1] < one.log_likelihood[2]
     assert np.allclose(one.move.sum(axis=1), 1) and np.allclose(one.emit.sum(axis=1), 1) and (one.emit > 0).all()
 
 
-def test_likelihood_of_a_document(docs):
-    """Scores are the plain forward recursion's, line by line, in logarithms."""
-    rows = docs.select("doc_id", "text").limit(20)
-    vocab = M.vocabulary(rows, 0.001)
-    m = M.train(M.encoded(rows, vocab), vocab, 3, 2)
-    for r in M.scored(M.encoded(rows, vocab), m).collect():
-        text = rows.where(f"doc_id = {r.doc_id}").first().text
+def test_training_converges_well_over_word_frequencies(docs):
+    """With the parameters of the registered query; half of the documents are held out."""
+    docs = docs.select("doc_id", "text")
+    seen, held = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
+    vocab, total, *_ = counted(seen, M.MIN_SHARE)
+    m = M.train(M.encoded(seen, vocab), vocab, total)
+    gain = np.diff(m.log_likelihood) / total
+    assert len(gain) + 1 < M.ITERATIONS and gain[-1] < M.LEAST_GAIN and (gain > 0).all()
+    found = [M.symbols(pa.array([r.text for r in d.collect()]), vocab)[0] for d in (seen, held)]
+    share = np.bincount(found[0], minlength=len(vocab) + M.CLASSES) + M.SMOOTHING
+    plain = float(np.log(share / share.sum())[found[1]].mean())
+    table = M.encoded(held, vocab).withColumn("uid", M.F.monotonically_increasing_id())
+    ours = sum(r.ll for r in M.scored(table, m).collect()) / len(found[1])
+    assert ours > plain + 0.2, (ours, plain)
+
+
+def test_likelihood_of_a_document(docs, spark):
+    """Scores are the plain forward recursion's, line by line, times each rare word's chance."""
+    rows = spark.createDataFrame(docs.select("doc_id", "text").limit(20).collect(), "doc_id bigint, text string").cache()
+    vocab, total, counts, letters = counted(rows, 0.001)
+    m = M.train(M.encoded(rows.coalesce(1), vocab), vocab, total, 3, 2)
+    chance = {r.word: r.chance for r in M.rare_chances(counts, letters, 0.001 * total).collect()}
+    texts = dict(rows.collect())
+    for r in M.score(rows, states=3, iterations=2, min_share=0.001).collect():
         ll = n = 0
-        for line in text.split("\n"):
+        for line in texts[r.doc_id].split("\n"):
             a = None
-            for o in M.symbols(pa.array([line]), vocab)[0]:
+            s, _, _, _, h = M.symbols(pa.array([line]), vocab)
+            for o, w in zip(s, h.view(np.int64), strict=True):
                 a = (np.log(m.start) if a is None else np.logaddexp.reduce(a[:, None] + np.log(m.move), axis=0)) + np.log(m.emit[:, o])
+                ll += chance[int(w)] if o >= len(vocab) else 0
                 n += 1
             ll += 0 if a is None else np.logaddexp.reduce(a)
-        assert r.n_words == n and r.log_likelihood == pytest.approx(ll) and r.perplexity == pytest.approx(math.exp(-ll / n))
+        assert r.n_words == n and r.log_likelihood == pytest.approx(ll, rel=1e-5) and r.perplexity == pytest.approx(math.exp(-ll / n), rel=1e-3)
 
 
 def test_states_recover_structure(spark):
     """Two alternating kinds of words: the model predicts them far better than their frequencies do."""
     rng = np.random.default_rng(0)
     rows = [(i, " ".join((f"a{rng.integers(4)}" if k % 2 else f"b{rng.integers(4)}") for k in range(30))) for i in range(300)]
-    got = M.score(spark.createDataFrame(rows, "doc_id bigint, text string"), states=2, iterations=30).collect()
+    got = M.score(spark.createDataFrame(rows, "doc_id bigint, text string"), states=2).collect()
     assert np.mean([r.perplexity for r in got]) < 5
 
 
+def test_texts_that_occur_twice_score_apart(spark, docs):
+    """Words of a text that is there twice are known; those of gibberish are not."""
+    rng = np.random.default_rng(1)
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    odd = lambda: " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 9)) for _ in range(60))
+    once, twice = [odd() for _ in range(30)], [odd() for _ in range(30)]
+    rows += [(10**6 + i, t) for i, t in enumerate(once)] + [(2 * 10**6 + i, t) for i, t in enumerate(twice + twice)]
+    got = {r.doc_id: r.perplexity for r in M.score(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert max(got[2 * 10**6 + i] for i in range(60)) < min(got[10**6 + i] for i in range(30))
+
+
 def test_table(odd):
     got = M.score(odd, iterations=2).collect()
     assert len(got) == odd.count()
