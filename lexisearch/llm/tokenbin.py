@@ -241,8 +241,10 @@ def pack_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     items = ranked(made.select("n", "doc_id", "digest", "part", "uid"), ["n", "doc_id", "digest", "part", "uid"], "place")
     counts = {r.n: r["count"] for r in made.groupBy("n").count().collect()}
     where, _ = placed(items, counts, row)
-    held = made.join(where, "uid").repartition("row_no").sortWithinPartitions("row_no", "at")
-    return assembled(held, row, kind)
+    # A piece as long as a row is one; only the others are shuffled to their rows.
+    short = made.where(F.col("n") < row).join(where, "uid").repartition("row_no").sortWithinPartitions("row_no", "at")
+    full = made.where(F.col("n") == row).join(where, "uid")
+    return assembled(short, row, kind).union(assembled(full, row, kind))
 
 
 def write_packed(packed: DataFrame, path: str) -> None:
