@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from lexisearch.functions.scalar import route
 from lexisearch.operators.catalog import Catalog, shard_info
 from lexisearch.operators.index import IndexOptions
-from lexisearch.operators.search import search
+from lexisearch.operators.search import search, search_shard
 from lexisearch.plans.plugins import standard
 from lexisearch.schemas import QUERIES
-from lexisearch.sources.files import read_lines, to_json_rows
+from lexisearch.sources.files import command_stream, read_lines, to_json_rows
 from lexisearch.sources.storage import SegmentStore
+from lexisearch.streaming.ingest import ingest
 
 
 def parser() -> argparse.ArgumentParser:
@@ -34,7 +35,7 @@ def parser() -> argparse.ArgumentParser:
 
     command("node", "addr", status="online")
     command("create", "namespace", shards=3, replicas=2)
-    command("drop", "namespace")
+    command("drop", "namespace").add_argument("--data", dest="with_data", action="store_true", help="delete its index as well")
     command("add", "namespace", "addr")
     command("remove-node", "namespace", "addr")
     command("balance", "namespace")
@@ -43,6 +44,11 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--target", required=True)
     command("commit", "namespace")
     command("info")
+    for listing in ("nodes", "namespaces", "members"):
+        command(listing)
+    command("ingest", "namespace", "log", kind="log", quarantine=None)
+    command("search-shard", "namespace", "query", group=0, start=0, count=10, plugins="preprocessor,segmenter")
+    command("validate", "namespace")
     command("index", "namespace", file=None, content=None)
     command("remove", "namespace", "doc_id")
     c = command("search", "namespace", "query", start=0, count=10, plugins="preprocessor,segmenter")
@@ -58,7 +64,11 @@ def main(argv: list[str] | None = None) -> list[str]:
     builder = SparkSession.builder.appName("lexisearch").config("spark.ui.enabled", "false")
     spark = (builder.master(a.master) if a.master else builder).getOrCreate()
     catalog = Catalog(spark, os.path.join(a.data, "catalog"))
-    out = None
+    out, drafts = None, []
+
+    def tokens() -> list[str]:
+        raw = spark.createDataFrame([(0, a.query, [], [])], QUERIES)
+        return standard(tuple(x for x in a.plugins.split(",") if x)).analyze(raw).first().tokens
 
     def store() -> SegmentStore:
         catalog.get(a.namespace)
@@ -70,6 +80,8 @@ def main(argv: list[str] | None = None) -> list[str]:
         case "create":
             catalog.create(a.namespace, a.shards, a.replicas)
         case "drop":
+            if a.with_data:
+                store().drop(a.namespace)
             catalog.drop(a.namespace)
         case "add":
             catalog.add_node(a.namespace, a.addr)
@@ -83,19 +95,29 @@ def main(argv: list[str] | None = None) -> list[str]:
             catalog.commit(a.namespace)
         case "info":
             out = catalog.shards()
+        case "nodes" | "namespaces" | "members":
+            out = getattr(catalog, a.do)()
+        case "ingest":
+            base = os.path.join(a.data, "streams", a.namespace)
+            groups = catalog.get(a.namespace).shard_num
+            ingest(command_stream(spark, a.log, a.kind), store(), a.namespace, base, groups, {"availableNow": True}, a.quarantine).awaitTermination()
+        case "search-shard":
+            found = search_shard(store().postings(a.namespace), a.group, tokens(), a.count, a.start, catalog.get(a.namespace).shard_num)
+            out = found
+        case "validate":
+            store().validate()
         case "index":
             if (a.file is None) == (a.content is None):
                 raise SystemExit("give either --file or --content")
             docs = read_lines(spark, a.file) if a.file else spark.range(1).select(F.uuid().alias("doc_id"), F.lit(a.content).alias("content"))
             docs = _written(docs, a, catalog)
+            drafts.append(docs.inputFiles()[0].rpartition("/")[0] if docs.inputFiles() else None)
             store().add(docs, text_col="content")
             out = docs.select("doc_id")
         case "remove":
             store().remove(a.namespace, spark.createDataFrame([(a.doc_id,)], "doc_id string"))
         case "search":
-            raw = spark.createDataFrame([(0, a.query, [], [])], QUERIES)
-            tokens = standard(tuple(x for x in a.plugins.split(",") if x)).analyze(raw).first().tokens
-            out = search(store().postings(a.namespace), tokens, a.count, a.start, a.group)
+            out = search(store().postings(a.namespace), tokens(), a.count, a.start, a.group)
         case "compact":
             store().compact()
         case "segments":
@@ -103,6 +125,9 @@ def main(argv: list[str] | None = None) -> list[str]:
     if a.do in ("node", "create", "drop", "add", "remove-node", "balance", "migrate"):
         catalog.save()
     rows = [] if out is None else [r.json for r in to_json_rows(out).collect()]
+    for path in filter(None, drafts):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     print(*rows, sep="\n")
     return rows
 

@@ -37,6 +37,10 @@ class CorruptIndex(SearchError):
     pass
 
 
+class Conflict(SearchError):
+    pass
+
+
 class NoQuery(SearchError):
     pass
 

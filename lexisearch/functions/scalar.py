@@ -78,6 +78,11 @@ def segment_line(create_time: Column, segment_id: Column, num_docs: Column) -> C
     return F.format_string("ctime=%s    id=%-10dnum=%d", F.date_format(create_time, "yyyy-MM-dd HH:mm:ss"), segment_id, num_docs)
 
 
+def canonical_id(value: Column) -> Column:
+    """UUIDs in their canonical form, other ids as they are."""
+    return F.coalesce(canonical_uuid(value), value)
+
+
 def trace_id(given: Column) -> Column:
     """The caller's trace id, or a new one where it is null or empty."""
     return F.coalesce(F.nullif(given, F.lit("")), F.uuid())

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexisearch.functions.analysis import tokenize
@@ -29,9 +29,18 @@ class IndexOptions:
             raise ValueError("intervals cannot be negative, merge_num and shards must be positive")
 
 
-def analyzed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(namespace, group_id, segment_id, doc_id, tokens); what is absent is 'default' or 0."""
-    have = set(docs.columns)
+def analyzed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", placed: tuple[str, ...] = SEGMENT) -> DataFrame:
+    """(namespace, group_id, segment_id, doc_id, tokens).
+
+    Text is tokenized; a table without ``text_col`` has its tokens in ``tokens``. The
+    columns named in ``placed`` say where a document goes, if they are there; others of these
+    names are ignored. What is absent is 'default' or 0; a place of another type is an error.
+    """
+    have = {c for c in docs.columns if c in placed} | {c for c in ("tokens",) if text_col not in docs.columns}
+    kind_of = dict(docs.dtypes)
+    for c in have - {"namespace", "tokens"}:
+        if kind_of[c] not in ("tinyint", "smallint", "int", "bigint"):
+            raise ValueError(f"{c} is {kind_of[c]}, not a whole number; leave it out of 'placed' if it is not the engine's")
     tokens = F.col("tokens") if "tokens" in have else tokenize(F.col(text_col))
     default = {"namespace": F.lit("default"), "group_id": F.lit(0), "segment_id": F.lit(0)}
     kinds = {"namespace": "string", "group_id": "int", "segment_id": "bigint"}
@@ -74,18 +83,20 @@ def impact(tf: Column, dl: Column, df: Column, n: Column, avg: Column) -> Column
     return F.when(avg == 0, F.lit(0.0)).otherwise(idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.nullif(avg, F.lit(0)))))
 
 
-def with_impacts(tf: DataFrame, stats: DataFrame) -> DataFrame:
+def with_impacts(tf: DataFrame, stats: DataFrame, few: bool = False) -> DataFrame:
     """Postings: the frequencies with document frequency and impact.
 
-    Document frequencies come from a window over (segment, term), which is also the
-    order in which postings are stored.
+    Document frequencies are summed in parts and joined back, so that no task has all
+    postings of a word; the join is broadcast where the summed table turns out small, and its
+    frequent words are split otherwise. ``few`` says that only some words of a query are here.
+    Statistics have a row for each segment, as manifests do.
     """
-    df = F.count("*").over(Window.partitionBy(*SEGMENT, "term"))
-    rows = tf.withColumn("df", df).join(stats, list(SEGMENT))
+    df = document_frequencies(tf)
+    rows = tf.join(F.broadcast(df) if few else df, [*SEGMENT, "term"]).join(F.broadcast(stats), list(SEGMENT))
     return rows.select(*SEGMENT, "term", "doc_id", "tf", "dl", impact(F.col("tf"), F.col("dl"), F.col("df"), F.col("num_docs"), F.col("avg_length")).alias("bm25"))
 
 
-def build_postings(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", terms: list[str] | DataFrame | None = None) -> DataFrame:
+def build_postings(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", terms: list[str] | DataFrame | None = None, placed: tuple[str, ...] = SEGMENT) -> DataFrame:
     """Postings of all documents, or of ``terms`` only (with the same impacts)."""
-    docs = analyzed(docs, text_col, id_col)
-    return with_impacts(term_frequencies(docs, terms), segment_stats(docs))
+    docs = analyzed(docs, text_col, id_col, placed)
+    return with_impacts(term_frequencies(docs, terms), segment_stats(docs), isinstance(terms, list))

@@ -55,7 +55,8 @@ def without(rows: DataFrame, tombstones: DataFrame) -> DataFrame:
 
 
 def kmerge(inputs: list[DataFrame], *by: str) -> DataFrame:
-    """All rows of the inputs in one order, repeats kept."""
+    """All rows of the inputs in one order, repeats kept. Lists that come from one table are
+    better given as one input: it is read once."""
     inputs = [i for i in inputs if i is not None]
     if not inputs:
         raise ValueError("nothing to merge")

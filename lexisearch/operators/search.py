@@ -11,7 +11,7 @@ from lexisearch.operators.index import build_postings
 
 #: Digits of a score that count for the order: sums come out alike however they were partitioned.
 DIGITS = 9
-#: Query tables up to so many rows are broadcast to the postings; more are joined by a shuffle.
+#: Query terms up to so many rows are broadcast to the postings; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
 
@@ -26,11 +26,22 @@ def score(queries: DataFrame, postings: DataFrame) -> DataFrame:
     return score_terms(query_terms(queries), postings)
 
 
-def score_terms(terms: DataFrame, postings: DataFrame) -> DataFrame:
+def _known(dedup: str, score_type: str) -> None:
+    if dedup not in ("none", "latest") or score_type not in ("double", "float"):
+        raise ValueError("dedup is 'none' or 'latest', score_type 'double' or 'float'")
+
+
+def _total(n: Column, score_type: str) -> Column:
+    """The sum of a document's impacts; single precision rounds each of them, and the sum."""
+    each = F.col("bm25") if score_type == "double" else F.col("bm25").cast("float").cast("double")
+    return F.sum(n * each).cast(score_type).alias("bm25_score")
+
+
+def score_terms(terms: DataFrame, postings: DataFrame, score_type: str = "double") -> DataFrame:
     if "group_id" not in postings.columns:
         postings = postings.withColumn("group_id", F.lit(0))
     hits = postings.join(terms, "term")
-    return hits.groupBy("query_id", "group_id", "segment_id", "doc_id").agg(F.sum(F.col("n") * F.col("bm25")).alias("bm25_score"))
+    return hits.groupBy("query_id", "group_id", "segment_id", "doc_id").agg(_total(F.col("n"), score_type))
 
 
 def _best() -> Column:
@@ -52,12 +63,15 @@ def page(hits: DataFrame, count: int, start: int = 0) -> DataFrame:
     return hits.orderBy(_best(), "doc_id", "group_id", "segment_id").offset(start).limit(count)
 
 
-def search(postings: DataFrame, tokens: list[str], count: int = 10, start: int = 0, groups: list[int] | None = None, rerank=None) -> DataFrame:
+def search(postings: DataFrame, tokens: list[str], count: int = 10, start: int = 0, groups: list[int] | None = None, rerank=None, dedup: str = "none", score_type: str = "double") -> DataFrame:
     """(segment_id, doc_id, bm25_score) of one query's page.
 
     ``groups`` searches some shard groups only. ``rerank`` maps hits to hits before
-    the final order, which is by ``bm25_score``. The terms go to the scan as a filter.
+    the final order, which is by ``bm25_score``. ``dedup`` 'latest' keeps of a document that
+    several segments hold only the newest one's hit. ``score_type`` 'float' adds up single-precision
+    impacts. The terms go to the scan as a filter.
     """
+    _known(dedup, score_type)
     counts: dict[str, int] = {}
     for t in tokens:
         if t:
@@ -67,7 +81,9 @@ def search(postings: DataFrame, tokens: list[str], count: int = 10, start: int =
     n = F.lit(0)
     for t, k in counts.items():
         n = F.when(F.col("term") == t, k).otherwise(n)
-    hits = postings.where(F.col("term").isin(list(counts))).groupBy("group_id", "segment_id", "doc_id").agg(F.sum(n * F.col("bm25")).alias("bm25_score"))
+    hits = postings.where(F.col("term").isin(list(counts))).groupBy("group_id", "segment_id", "doc_id").agg(_total(n, score_type))
+    if dedup == "latest":
+        hits = latest(hits.withColumn("query_id", F.lit(0))).drop("query_id")
     hits = hits if rerank is None else rerank(hits)
     return page(hits, count, start).select("segment_id", "doc_id", "bm25_score")
 
@@ -84,12 +100,14 @@ def search_shard(postings: DataFrame, group: int, tokens: list[str], count: int
     return hits.where((F.col("rank") > start) & (F.col("rank") <= start + count)).select("segment_id", "doc_id", "bm25_score")
 
 
-def search_batch(postings: DataFrame, queries: DataFrame, count: int = 10, start: int = 0, rerank=None) -> DataFrame:
+def search_batch(postings: DataFrame, queries: DataFrame, count: int = 10, start: int = 0, rerank=None, dedup: str = "none", score_type: str = "double") -> DataFrame:
     """(query_id, rank, segment_id, doc_id, bm25_score) for a table of queries with query_id
-    and tokens. The query side is broadcast only if it is counted to be small."""
+    and tokens. The queries' terms are broadcast only if they are counted to be few."""
+    _known(dedup, score_type)
     terms = query_terms(queries)
-    small = queries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    hits = score_terms(F.broadcast(terms) if small else terms, postings)
+    small = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    hits = score_terms(F.broadcast(terms) if small else terms, postings, score_type)
+    hits = latest(hits) if dedup == "latest" else hits
     hits = hits if rerank is None else rerank(hits)
     return top(hits, count, start).select("query_id", "rank", "segment_id", "doc_id", "bm25_score")
 
@@ -102,8 +120,8 @@ def latest(hits: DataFrame) -> DataFrame:
 
 def search_documents(docs: DataFrame, query: str, count: int = 10, start: int = 0, text_col: str = "text", id_col: str = "doc_id", groups: list[int] | None = None) -> DataFrame:
     """One query over documents that are not indexed: only its terms are exploded and shuffled."""
-    spark = docs.sparkSession
-    tokens = spark.range(1).select(tokenize(F.lit(query)).alias("t")).first()[0]
+    # A projection of a literal table is evaluated while planning: no job.
+    tokens = docs.sparkSession.sql("SELECT * FROM VALUES (0) AS one(x)").select(tokenize(F.lit(query)).alias("t")).collect()[0][0]
     return search(build_postings(docs, text_col, id_col, sorted(set(tokens))), tokens, count, start, groups)
 
 

@@ -69,10 +69,14 @@ class Classifier(Plugin):
     length: int = 197
     k: int = 5
 
-    def embed(self, text: str) -> np.ndarray:
-        chars = list(text[: self.length]) + ["P"] * (self.length - len(text))
-        unknown = self.embeddings["U"]
-        return np.stack([self.embeddings.get(c, unknown) for c in chars])
+    def embed(self, texts: list[str]) -> np.ndarray:
+        """(texts, length, width): code points looked up in a sorted table, all at once."""
+        points = np.array(sorted(map(ord, self.embeddings)), np.uint32)
+        vectors = np.stack([self.embeddings[chr(p)] for p in points])
+        cut = [t[: self.length] for t in texts]
+        found = np.frombuffer("".join(t + "P" * (self.length - len(t)) for t in cut).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, self.length)
+        at = np.minimum(np.searchsorted(points, found), len(points) - 1)
+        return vectors[np.where(points[at] == found, at, np.searchsorted(points, ord("U")))]
 
     def analyze(self, queries: DataFrame) -> DataFrame:
         if self.score is None:
@@ -81,7 +85,7 @@ class Classifier(Plugin):
 
         @F.pandas_udf("array<float>")
         def classes(raw: pd.Series) -> pd.Series:
-            return pd.Series(list(score(np.stack([embed(r or "") for r in raw])).astype(np.float32))) if len(raw) else pd.Series([], dtype=object)
+            return pd.Series(list(score(embed([r or "" for r in raw])).astype(np.float32))) if len(raw) else pd.Series([], dtype=object)
 
         names = F.array(*map(F.lit, self.tags))
         found = F.transform(top_indices(F.col("_scores"), self.k), lambda i: F.element_at(names, i + 1))

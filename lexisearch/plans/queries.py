@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +12,7 @@ from lexisearch.functions import scalar as S
 from lexisearch.operators import catalog, index, maintain, search
 from lexisearch.plans.plugins import Plugin, standard
 from lexisearch.schemas import SEGMENTS
-from lexisearch.sources import files
+from lexisearch.sources import files, shared
 from lexisearch.sources.tables import read_table as table
 
 QUERY = "the and attion thanedble"
@@ -64,11 +63,11 @@ def _terms(text: str) -> str:
     return f"q AS (SELECT unnest({_tokens(f"'{text}'")}) AS term)"
 
 
-def _hits(words: str = QUERY, segments: int = 1, where: str = "TRUE", start: int = 0, count: int = 10, **source: str) -> str:
+def _hits(words: str = QUERY, segments: int = 1, where: str = "TRUE", start: int = 0, count: int = 10, tie: str = "doc_id", **source: str) -> str:
     return f"""{_postings(segments, **source)}, {_terms(words)}
 SELECT segment_id::BIGINT AS segment_id, doc_id, round(score, 6) AS bm25_score FROM (
   SELECT segment_id, doc_id, sum(bm25) AS score FROM p JOIN q USING (term) WHERE {where} GROUP BY 1, 2)
-ORDER BY round(score, 9) DESC, doc_id, segment_id LIMIT {count} OFFSET {start}"""
+ORDER BY round(score, 9) DESC, {tie}, segment_id LIMIT {count} OFFSET {start}"""
 
 
 def _found(df: DataFrame) -> DataFrame:
@@ -299,7 +298,7 @@ def merged_term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_postings(4)} SELECT DISTINCT term, segment_id::BIGINT AS segment_id FROM p")
 def kmerge_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = index.term_frequencies(index.analyzed(documents(spark, sf_dir, 4))).select("term", "segment_id").distinct()
-    return maintain.kmerge([rows.where(F.col("segment_id") == k) for k in range(4)], "term", "segment_id")
+    return maintain.kmerge([rows], "term", "segment_id")
 
 
 @query(f"{_postings(4)} SELECT DISTINCT term FROM p")
@@ -307,7 +306,18 @@ def distinct_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintain.distinct_terms(index.term_frequencies(index.analyzed(documents(spark, sf_dir, 4))))
 
 
-@query()
+@query(
+    """WITH RECURSIVE s AS (SELECT doc_id % 16 AS segment_id, count(*) AS n FROM documents GROUP BY 1),
+t AS (SELECT greatest(1, sum(n) // 4) AS most FROM s),
+o AS (SELECT segment_id, n, row_number() OVER (ORDER BY segment_id) AS k FROM s, t WHERE n > 0 AND n < most),
+r AS (
+  SELECT k, segment_id, n AS total, 0 AS g FROM o WHERE k = 1
+  UNION ALL
+  SELECT o.k, o.segment_id, CASE WHEN r.total >= t.most THEN o.n ELSE r.total + o.n END, CASE WHEN r.total >= t.most THEN r.g + 1 ELSE r.g END
+  FROM r JOIN o ON o.k = r.k + 1, t),
+c AS (SELECT g FROM r GROUP BY g HAVING count(*) > 1)
+SELECT (dense_rank() OVER (ORDER BY g) - 1)::INTEGER AS "merge", segment_id::BIGINT AS segment_id FROM r JOIN c USING (g)"""
+)
 def merge_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = index.segment_stats(index.analyzed(documents(spark, sf_dir, 16))).select("segment_id", "num_docs").collect()
     total = sum(r.num_docs for r in stats)
@@ -348,17 +358,79 @@ def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.to_json_rows(index.doc_lengths(index.analyzed(documents(spark, sf_dir, 4))).select("segment_id", "doc_id", "dl"))
 
 
-@query()
+def _whole(hits: DataFrame) -> DataFrame:
+    """A page of hits as a table of its own, so that the index it was read from can go."""
+    found = _found(hits).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    return hits.sparkSession.createDataFrame(found.collect(), found.schema)
+
+
+def _commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), A.tokenize(F.col("text")).alias("tokens"))
+
+
+def _streamed(spark: SparkSession, base: str, store) -> None:
+    """What the log has now, and was not ingested before."""
+    from lexisearch.streaming.ingest import ingest
+
+    ingest(files.command_stream(spark, f"{base}/log"), store, "docs", f"{base}/state", trigger={"availableNow": True}).awaitTermination()
+
+
+@query(_hits(tie="doc_id::VARCHAR"))
 def stream_ingest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents sent as commands through a file stream, indexed and searched."""
     from lexisearch.sources.storage import SegmentStore
-    from lexisearch.streaming.ingest import ingest
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexisearch-")
-    base = f"{base}/stream-{spark.range(1).select(F.uuid()).first()[0]}"
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), A.tokenize(F.col("text")).alias("tokens"))
-    files.append_commands(files.index_commands(docs, 1), f"{base}/log", "docs")
-    store = SegmentStore(spark, f"{base}/index")
-    stream = spark.readStream.schema(spark.read.parquet(f"{base}/log").schema).parquet(f"{base}/log")
-    ingest(stream, store, "docs", f"{base}/state", trigger={"availableNow": True}).awaitTermination()
-    return _found(search.search(store.postings("docs"), QUERY.split()))
+    with shared.folder(spark) as base:
+        files.append_commands(files.index_commands(_commands(spark, sf_dir), 1), f"{base}/log", "docs")
+        store = SegmentStore(spark, f"{base}/index")
+        _streamed(spark, base, store)
+        return _whole(search.search(store.postings("docs"), QUERY.split()))
+
+
+_TOXIC = "SELECT doc_id FROM labels WHERE toxic = 1"
+
+
+@query(_hits(tie="doc_id::VARCHAR", source=f"(SELECT * FROM documents WHERE doc_id NOT IN ({_TOXIC}))"))
+def log_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents appended to the log, then removals, all taken in one batch."""
+    from lexisearch.sources.storage import SegmentStore
+
+    with shared.folder(spark) as base:
+        gone = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+        files.append_commands(files.index_commands(_commands(spark, sf_dir), 1), f"{base}/log", "docs")
+        files.append_commands(files.remove_commands(gone, 1), f"{base}/log", "docs")
+        store = SegmentStore(spark, f"{base}/index")
+        _streamed(spark, base, store)
+        return _whole(search.search(store.postings("docs"), QUERY.split()))
+
+
+@query(_hits(segments=4, where=f"doc_id NOT IN ({_TOXIC})", tie="doc_id::VARCHAR").replace("segment_id::BIGINT AS segment_id", "4::BIGINT AS segment_id"))
+def search_remove_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four segments, documents removed, everything merged: the removed stay away."""
+    from lexisearch.sources.storage import SegmentStore
+
+    with shared.folder(spark) as base:
+        docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit("docs").alias("namespace"))
+        store = SegmentStore(spark, f"{base}/index", index.IndexOptions(merge_num=1 << 40))
+        for k in range(4):
+            store.add(docs.where(F.pmod("doc_id", F.lit(4)) == k))
+        store.remove("docs", table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"))
+        store.compact()
+        store.validate()
+        return _whole(search.search(store.postings("docs"), QUERY.split()))
+
+
+@query(_hits(segments=3, tie="doc_id::VARCHAR").replace("SELECT segment_id::BIGINT AS segment_id", "SELECT (CASE WHEN segment_id = 2 THEN 3 ELSE 2 END)::BIGINT AS segment_id"))
+def stream_compact_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches, a merge of their segments, a third batch: all documents are there."""
+    from lexisearch.sources.storage import SegmentStore
+
+    with shared.folder(spark) as base:
+        docs = _commands(spark, sf_dir)
+        store = SegmentStore(spark, f"{base}/index", index.IndexOptions(merge_num=1 << 40))
+        for k in range(3):
+            files.append_commands(files.index_commands(docs.where(F.pmod(F.col("doc_id").cast("bigint"), F.lit(3)) == k), 1), f"{base}/log", "docs")
+            _streamed(spark, base, store)
+            if k == 1:
+                store.compact()
+        return _whole(search.search(store.postings("docs"), QUERY.split()))

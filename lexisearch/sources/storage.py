@@ -1,167 +1,400 @@
 """Segments on disk: Parquet postings under a versioned manifest.
 
-A search sees the segments of the newest manifest only, so writing, merging and
-removing are: write new files, then one new manifest, then delete what no manifest of
-use names. Two writers of the same version cannot both succeed.
+The manifest is one small JSON file a version: the live segments, the tombstones, and the
+last batch of each stream. A search sees what the newest one names, so writing, merging
+and removing are: write new files under a number no one else has, then one new manifest,
+and only later delete what none names any more. Whatever fails before its manifest has
+changed nothing. Of two writers of a version one goes first (file systems that create
+exclusively, as HDFS does, see to it between processes; a lock does within one); the other
+looks at the new manifest and tries again, or begins anew where that would be wrong.
+
+Numbers of segments never recur and say what is newer: a tombstone holds for segments up
+to the newest one there was when it was committed. Merged segments are written without
+removed documents under a new number, and a tombstone that no older segment is left for goes.
 """
 
 from __future__ import annotations
 
+import json
+import threading
+import time
+import uuid
+from collections import defaultdict
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexisearch.errors import CorruptIndex, IndexClosed
+from lexisearch.errors import Conflict, CorruptIndex, IndexClosed
 from lexisearch.operators.index import SEGMENT, IndexOptions, analyzed, doc_lengths, term_frequencies, with_impacts
-from lexisearch.operators.maintain import merge_postings, pick_segments, without
+from lexisearch.operators.maintain import pick_segments, without
 from lexisearch.schemas import LENGTHS, POSTINGS, SEGMENTS, TOMBSTONES
 from lexisearch.sources.tables import spread
 
-FORMAT = 1
+FORMAT = 2
+RETRIES = 20
+#: Manifests before the newest that stay readable.
+KEEP = 8
+_EMPTY = {"segments": [], "tombstones": [], "batches": {}, "trash": []}
+_locks: dict[str, threading.RLock] = defaultdict(threading.RLock)
+_FIELDS = ("namespace", "group_id", "segment_id", "num_docs", "total_length", "avg_length", "create_time", "version", "num_postings", "checksum")
+
+
+def _key(row: dict) -> tuple:
+    return row["namespace"], row["group_id"], row["segment_id"]
 
 
 class SegmentStore:
     def __init__(self, spark: SparkSession, path: str, options: IndexOptions | None = None):
         self.spark, self.path, self.options, self.closed = spark, path.rstrip("/"), options or IndexOptions(), False
+        self.streams: list = []
         self._hadoop = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._hadoop(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-        if self.version():
-            self.check_format()
+        self._lock = _locks[self.path]
+        self.check_format()
 
     def _open(self) -> None:
         if self.closed:
             raise IndexClosed("the index is closed")
 
+    # Files
+
     def _exists(self, path: str) -> bool:
         return self._fs.exists(self._hadoop(path))
 
+    def _names(self, path: str) -> list[str]:
+        return [f.getPath().getName() for f in self._fs.listStatus(self._hadoop(path))] if self._exists(path) else []
+
+    def _delete(self, path: str) -> None:
+        self._fs.delete(self._hadoop(path), True)
+
+    def _put(self, path: str, text: str) -> bool:
+        """Writes a file that is not there yet, whole; False if it is."""
+        with self._lock:
+            if self._exists(path):
+                return False
+            draft = self._hadoop(f"{self.path}/drafts/{uuid.uuid4().hex}")
+            out = self._fs.create(draft)
+            out.write(bytearray(text.encode()))
+            out.close()
+            to = self._hadoop(path)
+            self._fs.mkdirs(to.getParent())
+            if self._fs.rename(draft, to):
+                return True
+            self._fs.delete(draft, False)
+            return False
+
+    def _get(self, path: str) -> str:
+        stream = self._fs.open(self._hadoop(path))
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def token(self, folder: str) -> str:
+        """A name for what is kept in a folder, made up the first time and the same from then on."""
+        path = f"{folder.rstrip('/')}/lexisearch-token"
+        fs = self._hadoop(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(self._hadoop(path)):
+            out = fs.create(self._hadoop(path), False)
+            out.write(bytearray(uuid.uuid4().hex.encode()))
+            out.close()
+        return self._get(path)
+
+    # Manifests
+
     def version(self) -> int:
-        """The newest complete manifest; 0 if there is none."""
-        root = f"{self.path}/manifest"
-        if not self._exists(root):
-            return 0
-        names = [f.getPath().getName() for f in self._fs.listStatus(self._hadoop(root))]
-        return max((int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and self._exists(f"{root}/{n}/_SUCCESS")), default=0)
+        """The newest manifest; 0 if there is none."""
+        return max((int(n[1:-5]) for n in self._names(f"{self.path}/manifest") if n[:1] == "v" and n[-5:] == ".json"), default=0)
+
+    def state(self) -> dict:
+        for _ in range(RETRIES):
+            if not (v := self.version()):
+                return json.loads(json.dumps(_EMPTY))
+            try:
+                return json.loads(self._get(f"{self.path}/manifest/v{v}.json"))
+            except Exception:  # an older one, deleted since it was listed
+                if v == self.version():
+                    raise
+        raise Conflict("the manifest changes too fast to be read")
+
+    def _commit(self, change: Callable[[dict], dict]) -> dict:
+        for _ in range(RETRIES):
+            v = self.version()
+            new = change(self.state())
+            if v == self.version() and self._put(f"{self.path}/manifest/v{v + 1}.json", json.dumps(new)):
+                return new
+        raise Conflict("the manifest changes too fast to be written")
+
+    def _rows(self, rows: list[dict]) -> DataFrame:
+        times = SEGMENTS.replace("create_time timestamp", "create_time bigint")
+        df = self.spark.createDataFrame([tuple(r[f] for f in _FIELDS) for r in rows], times)
+        return df.withColumn("create_time", F.timestamp_micros("create_time"))
 
     def manifest(self) -> DataFrame:
-        v = self.version()
-        return self.spark.read.schema(SEGMENTS).parquet(f"{self.path}/manifest/v{v}") if v else self.spark.createDataFrame([], SEGMENTS)
+        return self._rows(self.state()["segments"])
 
-    def _commit(self, rows: list) -> None:
-        v = self.version() + 1
-        self.spark.createDataFrame(rows, SEGMENTS).coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/manifest/v{v}")
+    def discover(self) -> list[tuple[str, int]]:
+        """(namespace, group) of every shard that has live segments."""
+        return sorted({(r["namespace"], r["group_id"]) for r in self.state()["segments"]})
 
-    def next_segment(self) -> int:
-        return int(self.manifest().agg(F.coalesce(F.max("segment_id"), F.lit(-1))).first()[0]) + 1
+    def applied(self, stream: str) -> int:
+        """The last batch of a stream that is in the index; -1 if none is."""
+        return self.state()["batches"].get(stream, -1)
+
+    def _reserve(self) -> int:
+        """A segment number that no one else gets."""
+        while True:
+            used = [int(n) for n in self._names(f"{self.path}/numbers")] + [r["segment_id"] for r in self.state()["segments"]]
+            if self._put(f"{self.path}/numbers/{(n := max(used, default=-1) + 1)}", ""):
+                return n
 
     def check_format(self) -> None:
-        if wrong := self.manifest().where(F.col("version") != FORMAT).count():
+        if wrong := sum(r["version"] != FORMAT for r in self.state()["segments"]):
             raise CorruptIndex(f"{wrong} segments are of another format")
 
+    # Reading
+
+    def _folder(self, name: str, row: dict) -> str:
+        space = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(row["namespace"])
+        return f"{self.path}/{name}/namespace={space}/group_id={row['group_id']}/segment_id={row['segment_id']}"
+
+    def _read(self, name: str, rows: list[dict]) -> DataFrame:
+        """The rows of these segments: their folders are named, so nothing else is listed or read."""
+        schema = POSTINGS if name == "postings" else LENGTHS
+        folders = [self._folder(name, r) for r in rows if name == "lengths" or r["num_postings"]]
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(*folders)
+
+    def postings(self, namespace: str | None = None, apply_deletes: bool = True) -> DataFrame:
+        """Postings of the live segments; without removed documents unless told otherwise."""
+        self._open()
+        state = self.state()
+        return self._postings(state, [r for r in state["segments"] if namespace in (None, r["namespace"])], apply_deletes)
+
+    def _postings(self, state: dict, rows: list[dict], apply_deletes: bool, name: str = "postings") -> DataFrame:
+        found = self._read(name, rows)
+        holds = [t for t in state["tombstones"] if any(r["namespace"] == t["namespace"] and r["segment_id"] <= t["upto"] for r in rows)]
+        return without(found, self._tombstones(holds)) if apply_deletes and holds else found
+
+    def lengths(self) -> DataFrame:
+        return self._read("lengths", self.state()["segments"])
+
+    def _tombstones(self, known: list[dict]) -> DataFrame:
+        if not known:
+            return self.spark.createDataFrame([], TOMBSTONES)
+        ids = self.spark.read.schema("doc_id string, t string").option("basePath", f"{self.path}/tombstones").parquet(*(f"{self.path}/tombstones/t={t['t']}" for t in known))
+        of = self.spark.createDataFrame([(t["t"], t["namespace"], t["upto"]) for t in known], "t string, namespace string, upto bigint")
+        return ids.join(F.broadcast(of), "t").select("namespace", "doc_id", "upto")
+
+    def tombstones(self) -> DataFrame:
+        return self._tombstones(self.state()["tombstones"])
+
+    @staticmethod
+    def _sums(postings: DataFrame) -> dict[tuple, tuple[int, int]]:
+        """(postings, checksum) of each segment; the order of rows does not matter."""
+        digest = F.bit_xor(F.xxhash64("term", "doc_id", "tf", "dl", "bm25"))
+        return {(r.namespace, r.group_id, r.segment_id): (r.n, r.x) for r in postings.groupBy(*SEGMENT).agg(F.count("*").alias("n"), digest.alias("x")).collect()}
+
     def validate(self) -> None:
-        """Reads every live segment and compares it with its manifest row."""
+        """Reads every live segment, postings and lengths, and compares it with its manifest row."""
         self.check_format()
-        held = self.lengths().groupBy(*SEGMENT).agg(F.count("*").alias("n"), F.sum("dl").alias("total"))
-        bad = self.manifest().join(held, list(SEGMENT), "left").where("coalesce(n, 0) <> num_docs or coalesce(total, 0) <> total_length")
-        if rows := bad.select("segment_id").take(5):
-            raise CorruptIndex(f"segments {[r[0] for r in rows]} do not hold what the manifest says")
+        rows = self.state()["segments"]
+        held = {(r.namespace, r.group_id, r.segment_id): (r.n, r.total) for r in self._read("lengths", rows).groupBy(*SEGMENT).agg(F.count("*").alias("n"), F.sum(F.col("dl").cast("bigint")).alias("total")).collect()}
+        sums = self._sums(self._read("postings", rows))
+        wrong = [_key(r) for r in rows if held.get(_key(r), (0, 0)) != (r["num_docs"], r["total_length"]) or sums.get(_key(r), (0, 0)) != (r["num_postings"], r["checksum"])]
+        if wrong:
+            raise CorruptIndex(f"segments {wrong[:5]} do not hold what the manifest says")
 
-    def add(self, docs: DataFrame, segment_id: int | None = None, text_col: str = "text", id_col: str = "doc_id") -> int | None:
-        """Writes documents as one segment in each group they have; the segment's number, or
-        None if there are none. Writing the same number again replaces it."""
-        self._open()
-        segment_id = self.next_segment() if segment_id is None else segment_id
-        docs = analyzed(spread(docs), text_col, id_col).withColumn("segment_id", F.lit(segment_id).cast("bigint")).withColumn("doc_id", F.col("doc_id").cast("string"))
-        self._clear(segment_id)
-        self._write(doc_lengths(docs), "lengths")
-        # Statistics come from the lengths just written, so that texts are analyzed for these and for the postings only.
-        held = self._table("lengths", LENGTHS).where(F.col("segment_id") == segment_id)
-        total = F.sum(F.col("dl").cast("bigint"))
-        stats = held.groupBy(*SEGMENT).agg(F.count("*").alias("num_docs"), total.alias("total_length"), F.count("doc_id").alias("ids"))
-        found = stats.withColumn("avg_length", F.expr("total_length div num_docs")).select("*", F.current_timestamp().alias("create_time"), F.lit(FORMAT).alias("version")).collect()
-        if any(r.ids < r.num_docs for r in found):
-            self._clear(segment_id)
-            raise ValueError("documents need an id")
-        kept = self.manifest().where(F.col("segment_id") != segment_id).collect()
-        if not found:
-            return None
-        new = self.spark.createDataFrame([(r.namespace, r.group_id, r.segment_id, r.num_docs, r.total_length, r.avg_length, r.create_time, r.version) for r in found], SEGMENTS)
-        self._write(with_impacts(term_frequencies(docs), new.select(*SEGMENT, "num_docs", "total_length", "avg_length")), "postings")
-        self._commit(kept + new.collect())
-        return segment_id
+    # Writing
 
-    def _clear(self, segment_id: int) -> None:
-        """Deletes what an earlier attempt at this segment may have left in any group."""
+    def _write(self, rows: DataFrame, name: str) -> None:
+        """In order of term, then document, with a Bloom filter, so that lookups read few row
+        groups. Ranges of (term, document) are dealt out: a word of every document is in many tasks and files."""
+        key = ["term", "doc_id"] if name == "postings" else ["doc_id"]
+        out = rows.repartitionByRange(*SEGMENT, *key).sortWithinPartitions(*SEGMENT, *key).write.mode("overwrite")
+        out.option("partitionOverwriteMode", "dynamic").option(f"parquet.bloom.filter.enabled#{key[0]}", "true").partitionBy(*SEGMENT).parquet(f"{self.path}/{name}")
+
+    def _clear(self, segment: int) -> None:
+        """Deletes what an attempt that came to nothing has left in any group."""
         for name in ("postings", "lengths"):
-            for f in self._fs.globStatus(self._hadoop(f"{self.path}/{name}/*/*/segment_id={segment_id}")) or []:
+            for f in self._fs.globStatus(self._hadoop(f"{self.path}/{name}/*/*/segment_id={segment}")) or []:
                 self._fs.delete(f.getPath(), True)
 
-    def _write(self, rows: DataFrame, name: str) -> None:
-        """Sorted by term within the partitions, with a Bloom filter on it, so that lookups read few row groups."""
-        key = "term" if name == "postings" else "doc_id"
-        out = rows.repartition(*SEGMENT, key).sortWithinPartitions(*SEGMENT, key).write.mode("overwrite")
-        out.option("partitionOverwriteMode", "dynamic").option(f"parquet.bloom.filter.enabled#{key}", "true").partitionBy(*SEGMENT).parquet(f"{self.path}/{name}")
+    def _stats(self, segments: list[int]) -> list[dict]:
+        """Manifest rows of segments whose lengths are written."""
+        folders = [str(f.getPath().toString()) for n in segments for f in self._fs.globStatus(self._hadoop(f"{self.path}/lengths/*/*/segment_id={n}")) or []]
+        if not folders:
+            return []
+        held = self.spark.read.schema(LENGTHS).option("basePath", f"{self.path}/lengths").parquet(*folders)
+        found = held.groupBy(*SEGMENT).agg(F.count("*").alias("n"), F.sum(F.col("dl").cast("bigint")).alias("total"), F.count("doc_id").alias("ids")).collect()
+        if any(r.ids < r.n for r in found):
+            raise ValueError("documents need an id")
+        now = time.time_ns() // 1000
+        return [dict(zip(_FIELDS, (r.namespace, r.group_id, r.segment_id, r.n, r.total, r.total // r.n, now, FORMAT, 0, 0), strict=True)) for r in found]
 
-    def _table(self, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+    def _summed(self, rows: list[dict]) -> list[dict]:
+        """The rows with the sums of the postings that are written."""
+        known = [r | {"num_postings": 1} for r in rows if self._exists(self._folder("postings", r))]
+        sums = self._sums(self._read("postings", known)) if known else {}
+        return [r | dict(zip(("num_postings", "checksum"), sums.get(_key(r), (0, 0)), strict=True)) for r in rows]
 
-    def _live(self, name: str, schema: str) -> DataFrame:
-        if not self._exists(f"{self.path}/{name}"):
-            return self.spark.createDataFrame([], schema)
-        rows = self._table(name, schema)
-        return rows.join(self.manifest().select(*SEGMENT), list(SEGMENT), "left_semi")
+    def add(self, docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", removed: tuple[str, DataFrame] | None = None, stream: str | None = None, batch: int = -1) -> int | None:
+        """Writes documents as one segment in each group they have; the segment's number, or
+        None if there are none.
 
-    def postings(self, namespace: str | None = None, apply_deletes: bool = True) -> DataFrame:
-        """Postings of the live segments; without removed documents unless told otherwise."""
+        ``removed`` (a namespace and a table with ``doc_id``) is removed from all older
+        segments by the same manifest. A ``batch`` that the ``stream`` has applied already is left out.
+        """
         self._open()
-        rows = self._live("postings", POSTINGS)
-        if namespace is not None:
-            rows = rows.where(F.col("namespace") == namespace)
-        return without(rows, self.tombstones()) if apply_deletes else rows
+        for _ in range(RETRIES):
+            if stream is not None and self.applied(stream) >= batch:
+                return None
+            number, grave = self._reserve(), None
+            try:
+                rows = self._built(docs, number, text_col, id_col)
+                grave = self._buried(*removed) if removed else None
 
-    def lengths(self) -> DataFrame:
-        return self._live("lengths", LENGTHS)
+                def change(state: dict, rows: list[dict] = rows, grave: dict | None = grave, number: int = number) -> dict:
+                    newest = max((r["segment_id"] for r in state["segments"]), default=-1)
+                    if grave and newest >= number or any(t["upto"] >= number for t in state["tombstones"]):
+                        raise Conflict("a newer segment came first")
+                    if stream is not None and state["batches"].get(stream, -1) >= batch:
+                        raise Conflict("the batch is applied already")
+                    state["segments"] += rows
+                    state["tombstones"] += [grave | {"upto": newest}] if grave else []
+                    state["batches"] |= {stream: batch} if stream is not None else {}
+                    return state
 
-    def tombstones(self) -> DataFrame:
-        path = f"{self.path}/tombstones"
-        return self.spark.read.schema(TOMBSTONES).parquet(path) if self._exists(path) else self.spark.createDataFrame([], TOMBSTONES)
+                if rows or grave or stream is not None:
+                    self._commit(change)
+                return number if rows else None
+            except BaseException as e:
+                self._clear(number)
+                if grave:
+                    self._delete(f"{self.path}/tombstones/t={grave['t']}")
+                if not isinstance(e, Conflict):
+                    raise
+        raise Conflict("other writers were always first")
+
+    def _built(self, docs: DataFrame, number: int, text_col: str, id_col: str) -> list[dict]:
+        docs = analyzed(spread(docs), text_col, id_col).withColumn("segment_id", F.lit(number).cast("bigint")).withColumn("doc_id", F.col("doc_id").cast("string"))
+        # Statistics come from the lengths just written, so that texts are analyzed for these and for the postings only.
+        self._write(doc_lengths(docs), "lengths")
+        rows = self._stats([number])
+        if not rows:
+            return []
+        stats = self._rows(rows).select(*SEGMENT, "num_docs", "total_length", "avg_length")
+        self._write(with_impacts(term_frequencies(docs), stats), "postings")
+        return self._summed(rows)
+
+    def _buried(self, namespace: str, ids: DataFrame) -> dict | None:
+        t = uuid.uuid4().hex
+        path = f"{self.path}/tombstones/t={t}"
+        ids.select(F.col("doc_id").cast("string").alias("doc_id")).where("doc_id is not null").distinct().write.parquet(path)
+        if self.spark.read.schema("doc_id string").parquet(path).isEmpty():
+            self._delete(path)
+            return None
+        return {"t": t, "namespace": namespace}
 
-    def remove(self, namespace: str, ids: DataFrame, upto: int | None = None) -> None:
-        """Documents of segments up to ``upto`` (all so far) are no longer found; indexed again later, they are."""
+    def remove(self, namespace: str, ids: DataFrame) -> None:
+        """Documents of all segments so far are no longer found; indexed again later, they are."""
         self._open()
-        upto = self.next_segment() - 1 if upto is None else upto
-        ids.select(F.lit(namespace).alias("namespace"), F.col("doc_id").cast("string").alias("doc_id"), F.lit(upto).cast("bigint").alias("upto")).write.mode("append").parquet(f"{self.path}/tombstones")
+        if grave := self._buried(namespace, ids):
+
+            def change(state: dict) -> dict:
+                state["tombstones"].append(grave | {"upto": max((r["segment_id"] for r in state["segments"]), default=-1)})
+                return state
+
+            self._commit(change)
 
     def compact(self) -> list[list[int]]:
         """Merges small segments of each namespace and group; the merged numbers, a list for each merge.
 
-        Impacts are copied as they are. Old files go only after the new manifest is there.
+        Impacts are copied as they are, removed documents are left out. Files of merged
+        segments are deleted by the compaction after, so that a running search still has them.
         """
         self._open()
-        live = self.manifest().collect()
-        by_group: dict[tuple, list] = {}
-        for r in live:
-            by_group.setdefault((r.namespace, r.group_id), []).append(r)
-        done, fresh, gone, number = [], [], [], self.next_segment()
-        lengths, postings = self.lengths(), self.postings(apply_deletes=False)
-        for (namespace, group), rows in sorted(by_group.items()):
-            for ids in pick_segments([(r.segment_id, r.num_docs) for r in rows], self.options.merge_num):
-                mine = (F.col("namespace") == namespace) & (F.col("group_id") == group)
-                self._write(merge_postings(postings.where(mine), ids, number), "postings")
-                self._write(merge_postings(lengths.where(mine), ids, number), "lengths")
-                old = [r for r in rows if r.segment_id in ids]
-                n, total = sum(r.num_docs for r in old), sum(r.total_length for r in old)
-                fresh.append((namespace, group, number, n, total, total // n if n else 0, max(r.create_time for r in old), FORMAT))
-                gone += old
-                done.append(ids)
-                number += 1
-        if done:
-            dead = {(r.namespace, r.group_id, r.segment_id) for r in gone}
-            self._commit([r for r in live if (r.namespace, r.group_id, r.segment_id) not in dead] + fresh)
-            for namespace, group, segment in dead:
-                for name in ("postings", "lengths"):
-                    self._fs.delete(self._hadoop(f"{self.path}/{name}/namespace={namespace}/group_id={group}/segment_id={segment}"), True)
-        return done
+        for _ in range(RETRIES):
+            before = self.state()
+            by_group: dict[tuple, list] = defaultdict(list)
+            for r in before["segments"]:
+                by_group[r["namespace"], r["group_id"]].append((r["segment_id"], r["num_docs"]))
+            merges = [(*key, ids) for key, rows in sorted(by_group.items()) for ids in pick_segments(rows, self.options.merge_num)]
+            if not merges:
+                return []
+            into = [(namespace, group, old, number) for (namespace, group, ids), number in zip(merges, [self._reserve() for _ in merges], strict=True) for old in ids]
+            try:
+                self._merge(before, into)
+            except BaseException as e:
+                for number in {n for *_, n in into}:
+                    self._clear(number)
+                if not isinstance(e, Conflict):
+                    raise
+                continue
+            return [ids for *_, ids in merges]
+        raise Conflict("other writers were always first")
+
+    def _merge(self, before: dict, into: list[tuple[str, int, int, int]]) -> None:
+        dead = {(n, g, old) for n, g, old, _ in into}
+        rows = [r for r in before["segments"] if _key(r) in dead]
+        # As many rows as segments are merged, which the driver holds anyway.
+        to = F.broadcast(self.spark.createDataFrame(into, "namespace string, group_id int, segment_id bigint, _into bigint"))
+        for name in ("lengths", "postings"):
+            kept = self._postings(before, rows, True, name).join(to, list(SEGMENT))
+            self._write(kept.withColumn("segment_id", F.col("_into")).drop("_into"), name)
+        fresh = self._summed(self._stats(sorted({n for *_, n in into})))
+
+        def change(state: dict) -> dict:
+            if state["tombstones"] != before["tombstones"] or not dead <= {_key(r) for r in state["segments"]}:
+                raise Conflict("what was to be merged has changed")
+            for path in state["trash"]:
+                self._delete(path)
+            state["segments"] = [r for r in state["segments"] if _key(r) not in dead] + fresh
+            spent = [t for t in state["tombstones"] if not any(r["namespace"] == t["namespace"] and r["segment_id"] <= t["upto"] for r in state["segments"])]
+            state["tombstones"] = [t for t in state["tombstones"] if t not in spent]
+            state["trash"] = [self._folder(name, r) for r in rows for name in ("postings", "lengths")] + [f"{self.path}/tombstones/t={t['t']}" for t in spent]
+            return state
+
+        self._commit(change)
+        newest = self.version()
+        for n in self._names(f"{self.path}/manifest"):
+            if n[:1] == "v" and int(n[1:-5]) <= newest - KEEP:
+                self._delete(f"{self.path}/manifest/{n}")
+        oldest = min((r["segment_id"] for r in self.state()["segments"]), default=0)
+        for n in self._names(f"{self.path}/numbers"):
+            if int(n) < oldest:
+                self._delete(f"{self.path}/numbers/{n}")
+
+    def drop(self, namespace: str) -> None:
+        """All of a namespace's documents and tombstones, with their files."""
+
+        def change(state: dict) -> dict:
+            gone = [self._folder(name, r) for r in state["segments"] if r["namespace"] == namespace for name in ("postings", "lengths")]
+            state["trash"] += gone + [f"{self.path}/tombstones/t={t['t']}" for t in state["tombstones"] if t["namespace"] == namespace]
+            state["segments"] = [r for r in state["segments"] if r["namespace"] != namespace]
+            state["tombstones"] = [t for t in state["tombstones"] if t["namespace"] != namespace]
+            return state
+
+        self._open()
+        self._commit(change)
+        self.vacuum()
+
+    def vacuum(self) -> None:
+        """Deletes what no manifest names, at once; searches that began before may fail."""
+
+        def change(state: dict) -> dict:
+            for path in state["trash"]:
+                self._delete(path)
+            return state | {"trash": []}
+
+        self._commit(change)
 
     def close(self) -> None:
-        """Later calls raise; what was added is already on disk."""
+        """What streams have at hand is indexed, then they and the maintenance loop stop; later calls raise."""
+        for stream in self.streams:
+            if stream.isActive:
+                stream.processAllAvailable()
+                stream.stop()
         self.closed = True

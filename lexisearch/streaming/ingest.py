@@ -1,6 +1,7 @@
 """Streaming ingestion: each micro-batch becomes a segment.
 
-The batch's number is the segment's, so a batch that is run again replaces what it wrote.
+A batch's documents, its removals and its number are committed by one manifest, so a
+batch that is run again changes nothing, whatever was merged since.
 """
 
 from __future__ import annotations
@@ -11,35 +12,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lexisearch.functions.scalar import route
+from lexisearch.functions.scalar import canonical_id, route
+from lexisearch.operators.index import SEGMENT
+from lexisearch.sources.files import malformed, parse_commands
 from lexisearch.sources.storage import SegmentStore
 
 
-def apply_batch(store: SegmentStore, namespace: str, commands: DataFrame, segment_id: int, groups: int = 1) -> None:
+def apply_batch(store: SegmentStore, namespace: str, commands: DataFrame, batch: int, groups: int = 1, stream: str = "commands") -> None:
     """Indexes the batch's INDEX commands, and removes what its REMOVE commands name unless a
-    later command of the batch indexes it again. Other types are ignored."""
+    later command of the batch indexes it again. Other types are ignored.
+
+    Later is what was appended later, and within one append what has the higher ``seq``.
+    """
     # Both branches read the batch; its files or offsets are replayed rather than kept.
-    keyed = commands.withColumn("_id", F.coalesce("doc.doc_id", "doc_id"))
-    removed = keyed.where("type = 'REMOVE'").groupBy("_id").agg(F.max("seq").alias("_upto"))
-    docs = keyed.where("type = 'INDEX'").join(removed, "_id", "left").where("_upto is null or seq > _upto")
-    docs = docs.select(F.lit(namespace).alias("namespace"), route(F.col("_id"), groups).alias("group_id"), F.col("_id").alias("doc_id"), F.col("doc.tokens").alias("tokens"))
-    store.add(docs, segment_id)
-    gone = removed.select(F.col("_id").alias("doc_id"))
-    if not gone.isEmpty():
-        store.remove(namespace, gone, segment_id - 1)
+    appended = F.col("appended") if "appended" in commands.columns else F.lit(None)
+    at = F.struct(F.coalesce(appended, F.lit(0)).cast("bigint").alias("appended"), F.coalesce("seq", F.lit(0)).cast("bigint").alias("seq"))
+    keyed = commands.select("type", "doc", canonical_id(F.coalesce("doc.doc_id", "doc_id")).alias("_id"), at.alias("_at")).where("_id is not null")
+    removed = keyed.where("type = 'REMOVE'").groupBy("_id").agg(F.max("_at").alias("_upto"))
+    docs = keyed.where("type = 'INDEX'").join(removed, "_id", "left").where("_upto is null or _at > _upto")
+    placed = {"namespace": F.lit(namespace), "group_id": route(F.col("_id"), groups), "segment_id": F.lit(0)}
+    docs = docs.select(*(placed[c].alias(c) for c in SEGMENT), F.col("_id").alias("doc_id"), F.col("doc.tokens").alias("tokens"))
+    store.add(docs, removed=(namespace, removed.select(F.col("_id").alias("doc_id"))), stream=stream, batch=batch)
+
 
+def ingest(commands: DataFrame, store: SegmentStore, namespace: str, checkpoint: str, groups: int = 1, trigger: dict | None = None, quarantine: str | None = None) -> StreamingQuery:
+    """Starts ingestion of a stream of commands; by default every ``persist_interval`` seconds.
 
-def ingest(commands: DataFrame, store: SegmentStore, namespace: str, checkpoint: str, groups: int = 1, trigger: dict | None = None, first_segment: int = 0) -> StreamingQuery:
-    """Starts ingestion of a stream of commands; by default every ``persist_interval`` seconds."""
+    A stream with a column ``value`` has messages in JSON; those that are no commands are
+    left out, and kept in the folder ``quarantine`` if one is given, a folder for each batch.
+    """
+    stream = store.token(checkpoint)
+    messages = "value" in commands.columns
 
     def write(batch: DataFrame, number: int) -> None:
-        apply_batch(store, namespace, batch, first_segment + number, groups)
+        if messages and quarantine and store.applied(stream) < number:
+            malformed(batch).write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
+        apply_batch(store, namespace, parse_commands(batch) if messages else batch, number, groups, stream)
 
     trigger = trigger or {"processingTime": f"{store.options.persist_interval} seconds"}
-    return commands.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    query = commands.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    store.streams.append(query)
+    return query
 
 
 def maintain(store: SegmentStore, stop: Callable[[float], bool]) -> None:
-    """Compacts every ``merge_interval`` seconds until ``stop(seconds)`` says so; an interval of 0 does nothing."""
-    while store.options.merge_interval and not stop(store.options.merge_interval):
+    """Compacts every ``merge_interval`` seconds until ``stop(seconds)`` says so or the store is
+    closed; an interval of 0 does nothing."""
+    while store.options.merge_interval and not stop(store.options.merge_interval) and not store.closed:
         store.compact()

@@ -223,6 +223,19 @@ def test_catalog(spark, tmp_path):
         c.shard("news", 3)
     with pytest.raises(errors.ShardNotFound):
         c.shard("news", -1)
+    asked = []
+
+    def send(what, shard, node):
+        asked.append((what, shard.group_id, shard.replica_id, node))
+        return what != "remove" or len(asked) > 2
+
+    c.nodes_["n2"] = "online"
+    c.migrate("news", 0, 0, "n2", "n0")
+    assert [s.todo for s in c.execute("news", send)] == ["remove"] and asked == [("create", 0, 0, "n0"), ("remove", 0, 0, "n2")]
+    c = catalog.Catalog(spark, str(tmp_path / "c"))  # broken off after the switch
+    c.balance("news")
+    assert c.shard("news", 0).node == "n0" and c.shard("news", 0).todo == "remove"
+    assert c.execute("news", send) == [] and asked[2:] == [("remove", 0, 0, "n2")] and c.shard("news", 0).todo is None
     c.drop("news")
     with pytest.raises(errors.NamespaceNotFound):
         c.get("news")
@@ -242,7 +255,8 @@ def test_store_round(spark, tmp_path):
     assert s.compact() == [[0, 1]]
     assert hits(s.postings("n"), ["我"]) == before
     s.validate()
-    assert [(r.segment_id, r.num_docs) for r in s.manifest().collect()] == [(2, 2)]
+    (merged,) = s.manifest().collect()
+    assert merged.num_docs == 2 and merged.segment_id > 1
     s.remove("n", spark.createDataFrame([("a",)], "doc_id string"))
     assert [d for d, _ in hits(s.postings("n"), ["我"])] == ["b"]
     assert len(hits(s.postings("n", apply_deletes=False), ["我"])) == 2
@@ -250,7 +264,7 @@ def test_store_round(spark, tmp_path):
     assert sorted(d for d, _ in hits(s.postings("n"), ["我"])) == ["a", "b"]
     assert s.postings("other").count() == 0
     info = catalog.shard_info(s.manifest()).collect()
-    assert info[0].num_docs == 3 and info[0].n_segments == 2
+    assert info[0].num_docs == 3 and info[0].n_segments == 2 and s.discover() == [("n", 0)]
     s.close()
     with pytest.raises(errors.IndexClosed):
         s.postings()
@@ -258,16 +272,133 @@ def test_store_round(spark, tmp_path):
         s.add(tokens_df(spark, ONE))
 
 
-def test_a_damaged_store_is_noticed(spark, tmp_path):
+@pytest.mark.parametrize("name", ["lengths", "postings"])
+def test_a_damaged_store_is_noticed(spark, tmp_path, name):
     import shutil
 
     s = SegmentStore(spark, str(tmp_path / "i"))
     s.add(tokens_df(spark, ONE, namespace="n"))
-    shutil.rmtree(next((tmp_path / "i/lengths/namespace=n").iterdir()))
+    s.validate()
+    folder = next((tmp_path / f"i/{name}/namespace=n/group_id=0").iterdir())
+    held = spark.read.parquet(str(folder))
+    rows, schema = held.collect(), held.schema
+    shutil.rmtree(folder)
+    spark.createDataFrame(rows[1:], schema).write.parquet(str(folder))
     with pytest.raises(errors.CorruptIndex):
         s.validate()
 
 
+def test_a_failed_write_changes_nothing(spark, tmp_path):
+    s = SegmentStore(spark, str(tmp_path / "i"))
+    s.add(tokens_df(spark, ONE[:1], namespace="n"))
+    before = s.version()
+    with pytest.raises(ValueError):
+        s.add(tokens_df(spark, [(None, ["x"])], namespace="n"))
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO|ivi"):
+        s.add(tokens_df(spark, ONE, namespace="n").withColumn("group_id", F.expr("1 div (length(doc_id) - 1)").cast("int")))
+    assert s.version() == before and [d for d, _ in hits(s.postings("n"), ["我"])] == ["a"]
+    s.validate()
+    assert s.add(tokens_df(spark, ONE[1:], namespace="n")) is not None
+    assert [d for d, _ in hits(s.postings("n"), ["我"])] == ["a", "b"]
+
+
+def test_two_writers(spark, tmp_path):
+    """A merge that is overtaken by a removal begins anew; one that is overtaken by documents goes on."""
+    a, b = (SegmentStore(spark, str(tmp_path / "i"), index.IndexOptions(merge_num=100)) for _ in range(2))
+    for row in ONE:
+        a.add(tokens_df(spark, [row], namespace="n"))
+    real, done = a._merge, []
+
+    def overtaken(before, into):
+        if not done:
+            done.append(b.remove("n", spark.createDataFrame([("a",)], "doc_id string")))
+        elif len(done) == 1:
+            done.append(b.add(tokens_df(spark, [("c", ["我"])], namespace="n")))
+        real(before, into)
+
+    a._merge = overtaken
+    assert a.compact() == [[0, 1]]
+    assert sorted(d for d, _ in hits(a.postings("n"), ["我"])) == ["b", "c"] and len(done) == 2
+    a.validate()
+    assert a._put(f"{a.path}/manifest/v{a.version()}.json", "") is False
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from(["add", "remove", "batch", "again", "compact", "both"]), st.sets(st.integers(0, 5), min_size=1, max_size=3)), min_size=3, max_size=6))
+def test_any_order_of_changes(spark, tmp_path_factory, steps):
+    """The store against a list of (segment's age, id) that is changed alike."""
+    s = SegmentStore(spark, str(tmp_path_factory.mktemp("i")), index.IndexOptions(merge_num=100))
+    live, number = [], 0
+    for what, ids in steps:
+        names = [str(i) for i in sorted(ids)]
+        rows = [(n, ["x"]) for n in names]
+        if what == "add":
+            s.add(tokens_df(spark, rows, namespace="n"))
+            live += names
+        elif what == "remove":
+            s.remove("n", spark.createDataFrame([(n,) for n in names], "doc_id string"))
+            live = [d for d in live if d not in names]
+        elif what == "compact":
+            s.compact()
+        else:
+            if what == "again" and number:
+                number -= 1
+            applied = number <= s.applied("commands")
+            if what == "both":  # the first id goes, the others come
+                batch = [(0, "INDEX", names[0], ["x"]), (1, "REMOVE", names[0], None), *((2 + k, "INDEX", n, ["x"]) for k, n in enumerate(names[1:]))]
+            else:
+                batch = [(k, "INDEX", n, ["x"]) for k, n in enumerate(names)]
+            apply_batch(s, "n", commands(spark, batch), number)
+            if not applied:
+                live = [d for d in live if what != "both" or d != names[0]] + names[what == "both" :]
+            number += 1
+        assert sorted(r.doc_id for r in s.postings("n").select("doc_id").collect()) == sorted(live), steps
+    s.validate()
+
+
+def test_a_dropped_namespace_is_gone(spark, tmp_path):
+    s = SegmentStore(spark, str(tmp_path / "i"))
+    for n in ("n", "m"):
+        s.add(tokens_df(spark, ONE, namespace=n))
+    s.remove("n", spark.createDataFrame([("a",)], "doc_id string"))
+    s.drop("n")
+    assert s.postings("n").count() == 0 and len(hits(s.postings("m"), ["我"])) == 2
+    assert not (tmp_path / "i/postings/namespace=n/group_id=0/segment_id=0").exists() and s.tombstones().count() == 0
+
+
+def test_merges_of_several_groups_and_spent_tombstones(spark, tmp_path):
+    s = SegmentStore(spark, str(tmp_path / "i"), index.IndexOptions(merge_num=100))
+    docs = tokens_df(spark, [(str(i), ["x", f"w{i}"]) for i in range(8)], namespace="a b").withColumn("group_id", F.col("doc_id").cast("int") % 2)
+    for k in range(2):
+        s.add(docs.where(f"cast(doc_id as int) % 4 div 2 = {k}"))
+    s.remove("a b", docs.where("doc_id < '2'"))
+    assert s.tombstones().count() == 2 and len(s.compact()) == 2
+    assert s.tombstones().count() == 0 and {d for d, _ in hits(s.postings("a b"), ["x"])} == set("234567")
+    assert sum(r.num_docs for r in s.manifest().collect()) == 6
+    s.validate()
+
+
+def test_latest_and_single_precision(spark, tmp_path):
+    s = SegmentStore(spark, str(tmp_path / "i"))
+    for _ in range(2):
+        s.add(tokens_df(spark, ONE, namespace="n"))
+    p = s.postings("n")
+    assert len(hits(p, ["我"])) == 4
+    assert [(r.segment_id, r.doc_id) for r in search.search(p, ["我"], dedup="latest").collect()] == [(1, "a"), (1, "b")]
+    queries = spark.createDataFrame([(1, ["我"])], "query_id bigint, tokens array<string>")
+    assert search.search_batch(p, queries, dedup="latest").count() == 2
+    assert dict(search.search(p, ["github"], score_type="float").dtypes)["bm25_score"] == "float"
+    with pytest.raises(ValueError):
+        search.search(p, ["x"], dedup="oldest")
+
+
+def test_places_are_asked_for_or_ignored(spark):
+    docs = spark.createDataFrame([("a", "x y", "elsewhere", ["not", "tokens"])], "doc_id string, text string, group_id string, tokens array<string>")
+    with pytest.raises(ValueError):
+        index.build_postings(docs)
+    assert {r.term for r in index.build_postings(docs, placed=()).collect()} == {"x", "y"}
+
+
 # Streaming
 
 
@@ -302,13 +433,33 @@ def test_stream_from_files(spark, tmp_path):
     run()
     assert len(hits(s.postings("n"), ["我"])) == 2
     files.append_commands(files.remove_commands(docs.where("doc_id = 'a'"), 2), log, "n")
+    files.append_commands(files.index_commands(tokens_df(spark, [("c", ["我"]), ("d", ["我"])]), 2), log, "n")
+    files.append_commands(files.remove_commands(spark.createDataFrame([("c",)], "doc_id string"), 2), log, "n")
     run()
-    assert [d for d, _ in hits(s.postings("n"), ["我"])] == ["b"]
+    assert sorted(d for d, _ in hits(s.postings("n"), ["我"])) == ["b", "d"]
+
+
+def test_messages_and_quarantine(spark, tmp_path):
+    uuid = "6BA7B810-9DAD-11D1-80B4-00C04FD430C8"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_text('{"type":"INDEX","doc":{"doc_id":"%s","tokens":["x"]},"seq":1}\n{oops\n{"type":"REMOVE"}\n' % uuid)
+    s = SegmentStore(spark, str(tmp_path / "i"))
+    q = ingest(files.command_stream(spark, str(tmp_path / "in"), "json"), s, "n", str(tmp_path / "state"), trigger={"processingTime": "1 second"}, quarantine=str(tmp_path / "bad"))
+    s.close()  # takes what is there, then stops
+    assert not q.isActive
+    s = SegmentStore(spark, str(tmp_path / "i"))
+    assert [d for d, _ in hits(s.postings("n"), ["x"])] == [uuid.lower()]
+    assert sorted(r.raw for r in spark.read.parquet(str(tmp_path / "bad")).collect()) == sorted(["{oops", '{"type":"REMOVE"}'])
+    with pytest.raises(ValueError):
+        files.command_stream(spark, "x", "other")
 
 
 def test_malformed_messages_are_left_out(spark):
     rows = spark.createDataFrame([('{"type":"INDEX","doc":{"doc_id":"a","tokens":["x"]},"seq":1}',), ("{oops",), (None,), ('{"type":"REMOVE"}',), ('{"type":"REMOVE","doc_id":"a","seq":2}',)], "value string")
     assert [r.type for r in files.parse_commands(rows).collect()] == ["INDEX", "REMOVE"]
+    assert files.malformed(rows).count() == 3
+    log = rows.selectExpr("value", "cast(7 as bigint) as offset", "timestamp_micros(5) as timestamp")
+    assert {(r.seq, r.appended) for r in files.parse_commands(log).collect()} == {(7, 5)}
 
 
 # Plugins, sources, command line
@@ -379,5 +530,15 @@ def test_command_line(spark, tmp_path, capsys):
     do("remove", "news", doc["doc_id"])
     assert len(do("search", "news", "GITHUB!")) == 2
     assert sum(r["num_docs"] for r in do("segments", "news")) == 3
+    assert not list((tmp_path / "incoming/news").iterdir())
+    assert {r["addr"] for r in do("nodes")} == {"n0", "n1"} and do("namespaces")[0]["shard_num"] == 3 and len(do("members", )) == 2
+    assert sum(len(do("search-shard", "news", "github", "--group", str(g))) for g in range(3)) == 2
+    files.append_commands(files.index_commands(tokens_df(spark, [("z", ["github"])]), 3), str(tmp_path / "log"), "news")
+    do("ingest", "news", str(tmp_path / "log"))
+    do("validate", "news")
+    assert len(do("search", "news", "github")) == 3
+    do("drop", "news", "--data")
+    do("create", "news")
+    assert do("search", "news", "github") == []
     with pytest.raises(errors.NamespaceNotFound):
         do("search", "nothing", "x")
