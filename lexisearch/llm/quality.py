@@ -27,9 +27,6 @@ from lexisearch.llm._text import _hash, flat, pieces, words
 RULES = ("symbols", "letters", "capitals", "exclamations", "bars", "echoes", "variety", "repeated_lines", "function_words", "word_length", "length", "sentence_ends")
 KEEP = 0.5
 ITERATIONS = 200
-#: Bounds of the estimates: a rule that votes on a good document votes good at least, on a bad one at most, so often.
-RIGHT_ON_GOOD = 0.98
-GOOD_ON_BAD = 0.9
 _FUNCTION = (
     "the of and to a in is that it for on with as was by are this be from at which or an have not but "
     "der die und das ist nicht ein eine zu mit den von für auf im sich des dem als auch sie "
@@ -99,6 +96,7 @@ def features(arr: pa.Array) -> dict[str, np.ndarray]:
         "exclamations": share(n[_MARK], count),
         "bars": share(n[_BAR], count),
         "echoes": share(_per(same, first), count),
+        "latin": share(ascii_letters, ascii_letters + n[_WIDE]),
         "variety": share(_distinct(h, first), count),
         "repeated_lines": share(lines - unlike, lines),
         "function_words": share(_per(stop, first), count),
@@ -132,7 +130,7 @@ def votes(arr: pa.Array) -> np.ndarray:
             under("echoes", 0.05, 0.2),
             over("variety", 0.3, 0.12, many),
             between(f["lines"], (f["repeated_lines"] <= 0.1) & (f["lines"] >= 3), (f["repeated_lines"] >= 0.4) & (f["lines"] >= 3)),
-            over("function_words", 0.12, 0.02, many),
+            over("function_words", 0.12, 0.02, many & (f["latin"] >= 0.5)),
             between(size, (size >= 3) & (size <= 9), (size < 2) | (size > 15)),
             np.where(many, 1, 0),
             over("sentence_ends", 0.5, 0.1, f["lines"] >= 4),
@@ -160,10 +158,8 @@ def fit(v: np.ndarray, count: np.ndarray, iterations: int = ITERATIONS) -> tuple
 
     ``v`` has the distinct vote rows and ``count`` how many documents have each.
     A rule's chances are taken over the documents on which it votes, with one
-    vote of each kind added, so none is 0 or 1. Rules are made to be seldom wrong
-    about good text: without ``RIGHT_ON_GOOD`` and ``GOOD_ON_BAD`` the two classes
-    could as well become any other split of the corpus, such as one kind of junk
-    against all else.
+    vote of each kind added, so none is 0 or 1; nothing else holds them. EM begins where
+    every rule is nearly always right about good text and often wrong about bad.
     """
     good, bad = (v == 1).astype(float), (v == -1).astype(float)
     prior, chance = 0.8, np.tile([[0.99], [0.75]], (1, v.shape[1]))
@@ -171,7 +167,6 @@ def fit(v: np.ndarray, count: np.ndarray, iterations: int = ITERATIONS) -> tuple
     for _ in range(iterations):
         p = posterior(v, prior, chance)
         new = np.stack([((w := weight * q) @ good + 1) / (w @ (good + bad) + 2) for q in (p, 1 - p)])
-        new[0], new[1] = np.maximum(new[0], RIGHT_ON_GOOD), np.minimum(new[1], GOOD_ON_BAD)
         shift = np.abs(new - chance).max()
         prior, chance = float((weight @ p + 1) / (weight.sum() + 2)), new
         if shift < 1e-10:
