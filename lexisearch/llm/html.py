@@ -52,6 +52,10 @@ LABELLED = (
     (2, 1.0, 150, 0.0, 90, 0.0, 1), (1, 1.0, 80, 0.0, 10, 0.0, 1), (80, 0.0, 90, 0.0, 0, 0.0, 1), (9, 0.0, 55, 0.0, 0, 0.0, 1), (0, 0.0, 70, 0.0, 50, 0.0, 1), (0, 0.0, 120, 0.0, 0, 0.0, 1), (0, 0.0, 25, 0.0, 60, 0.0, 1),
     # short paragraphs inside a text
     (80, 0.0, 1, 0.0, 90, 0.0, 1), (60, 0.0, 4, 0.0, 70, 0.0, 1), (25, 0.0, 9, 0.0, 8, 0.0, 1), (7, 0.0, 2, 0.0, 50, 0.0, 1), (100, 0.0, 12, 0.0, 9, 0.0, 1), (40, 0.0, 8, 0.0, 13, 0.0, 1), (5, 0.0, 5, 0.0, 6, 0.0, 1), (3, 0.0, 8, 0.0, 10, 0.0, 1), (50, 0.0, 20, 0.0, 1, 0.0, 1), (9, 0.0, 2, 0.0, 1, 0.0, 1), (1, 0.0, 15, 0.0, 1, 0.0, 1),
+    # blocks of three pages as they stand, read and labelled: menu, notice, title, text, imprint
+    (0, 0.0, 1, 1.0, 1, 1.0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0), (1, 1.0, 1, 1.0, 8, 0.0, 0), (1, 1.0, 8, 0.0, 6, 0.0, 0), (8, 0.0, 6, 0.0, 13, 0.0, 1), (6, 0.0, 13, 0.0, 68, 0.0, 1), (13, 0.0, 68, 0.0, 92, 0.0, 1), (49, 0.0, 61, 0.0, 1, 0.0, 1), (61, 0.0, 1, 0.0, 1, 0.0, 1), (1, 0.0, 1, 0.0, 48, 0.0, 1), (34, 0.0, 4, 0.0, 15, 0.0, 1), (64, 0.0, 2, 0.0, 5, 0.0, 1),
+    (1, 1.0, 8, 0.0, 7, 0.0, 0), (8, 0.0, 7, 0.0, 7, 0.0, 1), (7, 0.0, 7, 0.0, 22, 0.0, 1), (7, 0.0, 22, 0.0, 33, 0.0, 1), (31, 0.0, 1, 0.0, 94, 0.0, 1), (76, 0.0, 46, 0.0, 8, 0.0, 1), (46, 0.0, 8, 0.0, 0, 0.0, 0),
+    (1, 1.0, 1, 1.0, 5, 0.0, 0), (1, 1.0, 5, 0.0, 11, 0.0, 0), (5, 0.0, 11, 0.0, 14, 0.0, 1), (34, 0.0, 210, 0.0, 4, 0.0, 1), (210, 0.0, 4, 0.0, 20, 0.0, 1), (12, 0.0, 2, 0.0, 19, 0.0, 1), (6, 0.0, 9, 0.0, 11, 0.0, 1), (9, 0.0, 11, 0.0, 0, 0.0, 0),
 )
 
 

@@ -1,3 +1,5 @@
+from html.parser import HTMLParser
+
 import numpy as np
 
 from lexisearch.llm import html as H
@@ -69,3 +71,69 @@ def test_elements_without_an_end_tag():
         assert H.blocks(f"<{name}>no</{name}><p>some words") == text
     assert H.blocks("<p>some words<textarea>no") == H.blocks("<p>some words<style>no<p>no") == text
     assert H.blocks("<svg>" * 50000 + "some words") == text
+
+
+class Flat(HTMLParser):
+    """The blocks of a page whose elements are all closed, by another parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.text, self.linked, self.links, self.skip = [], [], 0, 0, 0
+
+    def close_block(self):
+        words = "".join(self.text).split()
+        if words:
+            self.out.append((" ".join(words), len(words), min(self.linked, len(words))))
+        self.text, self.linked = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style", "title", "noscript", "template", "select", "iframe", "textarea"):
+            self.close_block()
+            self.skip += 1
+        elif tag == "a":
+            self.links += 1
+        elif tag not in H._INLINE and not self.skip:
+            self.close_block()
+            self.links = 0
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style", "title", "noscript", "template", "select", "iframe", "textarea"):
+            self.skip -= 1
+        elif tag == "a":
+            self.links = max(0, self.links - 1)
+        elif tag not in H._INLINE and not self.skip:
+            self.close_block()
+            self.links = 0
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.text.append(data)
+            self.linked += len(data.split()) if self.links else 0
+
+
+def walked(node, x):
+    """A row's way down the tree, by itself."""
+    while node.feature >= 0:
+        node = node.left if x[node.feature] <= node.cut else node.right
+    return node.share >= 0.5
+
+
+def test_as_brute_force(spark, sf):
+    """The whole query against another parser, features block by block, and the tree row by row."""
+    rows = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html").collect()
+    got = {r.page_id: r for r in H.op6_html_text(spark, sf).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        parser = Flat()
+        parser.feed(r.html)
+        parser.close()
+        parser.close_block()
+        found, keep = parser.out, []
+        for i, (text, n, k) in enumerate(found):
+            x = []
+            for j in (i - 1, i, i + 1):
+                x += [found[j][1], found[j][2] / found[j][1]] if 0 <= j < len(found) else [0, 0.0]
+            if walked(H.trained(), x):
+                keep.append(text)
+        mine = got[r.page_id]
+        assert (mine.n_blocks, mine.n_content, mine.text) == (len(found), len(keep), "\n".join(keep)), r.page_id
