@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexisearch.sources.shared import shared_dir
 from lexisearch.sources.tables import read_table as load  # noqa: F401
 
 
@@ -16,20 +16,6 @@ from lexisearch.sources.tables import read_table as load  # noqa: F401
 _made: dict[str, SparkSession] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
-
-    Only where the session leaves it unset (unit tests on one machine) is a
-    temporary folder made and set.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lexisearch-"))
-        named = sc.getCheckpointDir()
-    return named
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
