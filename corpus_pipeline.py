@@ -7,10 +7,10 @@ besides are carried along. Each stage's result is written as Parquet and read ag
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from lexisearch.llm import neardup, quality, retrieval, secrets
 from lexisearch.llm._spark import load, materialize
@@ -20,6 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that are good with a posterior probability of half or more stay.
 
     Null and empty texts go. Rows are judged one by one, so repeated rows fare alike.
+    Texts may be of any length; an empty table stays empty.
     """
     return quality.keep_good(docs)
 
@@ -28,25 +29,38 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the least id.
 
     Of rows that share an id, copies or not, the one with the least text stays (nulls
-    last, then any of equal rows). Rows without an id are in no group; they stay.
+    last, then the least of what else they hold). Rows without an id, and texts that are
+    null or without a word, are in no group; they stay. Texts may be of any length. An
+    empty table stays empty.
     """
+    mine = f"_{uuid4().hex}"  # no column of the table is named so
     found = neardup.groups(docs)
-    gone = found.where("doc_id <> group_id").select(F.col("doc_id").alias("__gone"))
-    repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("__again"))
-    lone = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    again = lone.join(repeated, F.col("doc_id") == F.col("__again"), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.asc_nulls_last("text"))
-    once = again.withColumn("__place", F.row_number().over(first)).where("__place = 1").drop("__place")
-    return lone.join(repeated, F.col("doc_id") == F.col("__again"), "left_anti").union(once)
+    gone = found.where("doc_id <> group_id").select(F.col("doc_id").alias(mine))
+    repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias(mine))
+    lone = docs.join(gone, F.col("doc_id") == F.col(mine), "left_anti")
+    again = lone.join(repeated, F.col("doc_id") == F.col(mine), "left_semi")
+    # Rows of one id are reduced in parts, however many there are.
+    row = F.struct(*(F.col(c) for c in docs.columns))
+    order = F.struct(F.col("text").isNull(), F.col("text"), F.to_json(row))
+    once = again.groupBy("doc_id").agg(F.min_by(row, order).alias(mine)).select(f"{mine}.*")
+    return lone.join(repeated, F.col("doc_id") == F.col(mine), "left_anti").union(once)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are replaced, and ``n_chars`` follows; every document stays."""
+    """Secrets in the texts are replaced, and ``n_chars`` follows; every document stays.
+
+    Null and empty texts stay as they are, and so does an empty table; texts and secrets
+    may be of any length.
+    """
     return secrets.redact_secrets(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows of 2,048 words, each filled with its first document's lexical neighbours."""
+    """Windows of 2,048 words, each filled with its first document's lexical neighbours.
+
+    Null texts and texts without a word are in no window; repeated rows are packed each; longer
+    texts are cut without loss; an empty table gives no windows.
+    """
     return retrieval.pack(docs)
 
 
