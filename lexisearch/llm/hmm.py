@@ -7,7 +7,7 @@ likelihood is the product of its lines'.
 
 A word in a class has its own chance there: its count in the whole corpus less
 ``DISCOUNT``, and what is taken from all words of the class goes to spellings, byte by
-byte, so that the chances of all words sum to one. These counts are a table that
+byte (letter, digit or wider), so that the chances of all words sum to one. These counts are a table that
 grows with the corpus and is never gathered; it is joined to the words by a shuffle. As
 a word's chance in its class does not depend on the state, it is no part of training.
 
@@ -66,48 +66,41 @@ class Model:
     log_likelihood: tuple[float, ...] = ()
 
 
-def word_classes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The class of each word if it is rare."""
-    out = 4 * np.searchsorted(_LENGTHS, size, "right")
-    for flag, mask in ((1, (data >= 48) & (data <= 57)), (2, data >= 128)):
-        total = np.zeros(len(data) + 1, np.int64)
-        np.cumsum(mask, out=total[1:])
-        out += flag * (total[start + size] > total[start])
-    return out
+def _inside(mask: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How many bytes of each word are marked."""
+    total = np.zeros(len(mask) + 1, np.int64)
+    np.cumsum(mask, out=total[1:])
+    return total[start + size] - total[start]
+
+
+def word_classes(size: np.ndarray, digits: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    """The class of each word if it is rare, by its bytes, and how many are digits or wider characters'."""
+    return 4 * np.searchsorted(_LENGTHS, size, "right") + (digits > 0) + 2 * (wide > 0)
 
 
 def word_counts(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(word, class, n, spelling) of every distinct word of ``docs``, written; and how often
-    its words hold each byte, their number last. ``spelling`` has the word's bytes.
+    """(word, n, size, digits, wide) of every distinct word of ``docs``, written: how often it
+    occurs, its bytes, and how many of these are digits and wider characters'; and over all
+    occurrences: letters, digits, wider characters' bytes, words.
     """
-    schema = pa.schema([("word", pa.int64()), ("class", pa.int32()), ("n", pa.int64()), ("spelling", pa.binary())])
+    schema = pa.schema([("word", pa.int64()), ("n", pa.int64()), ("size", pa.int32()), ("digits", pa.int32()), ("wide", pa.int32())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters = np.zeros(257, np.int64)
         for batch in batches:
             for part in pieces(batch, "text"):
                 low = pc.utf8_lower(part.column(0))
                 data, _ = flat(low)
                 h, _, start, size = word_spans(low)
-                if not len(h):
-                    continue
-                key, at, n = np.unique(h, return_index=True, return_counts=True)
-                inside = np.zeros(len(data) + 1, np.int64)
-                inside[start] += 1
-                inside[start + size] -= 1
-                letters[:256] += np.bincount(data[np.cumsum(inside)[:-1] > 0], minlength=256)
-                letters[256] += len(h)
-                raw, a, b = data.tobytes(), start[at], (start + size)[at]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(word_classes(data, start[at], size[at]), pa.int32()), pa.array(n), pa.array([raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())], schema=schema)
-        if letters.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(257), pa.int64()), pa.array([-1] * 257, pa.int32()), pa.array(letters), pa.array([b""] * 257, pa.binary())], schema=schema)
-
-    rows = docs.select("text").mapInArrow(count, "word bigint, class int, n bigint, spelling binary")
-    table = materialize(rows.groupBy("class", "word").agg(F.sum("n").alias("n"), F.first("spelling").alias("spelling")))
-    found = dict(table.where("class = -1").select("word", "n").collect())
-    words_only = table.where("class >= 0")
-    words_only._lexi_path = table._lexi_path
-    return words_only, np.array([found.get(i, 0) for i in range(257)], np.int64)
+                if len(h):
+                    key, at, n = np.unique(h, return_index=True, return_counts=True)
+                    start, size = start[at], size[at]
+                    digits, wide = (_inside(x, start, size) for x in ((data >= 48) & (data <= 57), data >= 128))
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n), *(pa.array(x.astype(np.int32)) for x in (size, digits, wide))], schema=schema)
+
+    rows = docs.select("text").mapInArrow(count, "word bigint, n bigint, size int, digits int, wide int")
+    table = materialize(rows.groupBy("word").agg(F.sum("n").alias("n"), *(F.max(c).alias(c) for c in ("size", "digits", "wide"))))
+    of = lambda c: F.coalesce(F.sum(F.expr(f"n * ({c})")), F.lit(0))
+    return table, np.array(table.agg(of("size - digits - wide"), of("digits"), of("wide"), of("1")).first(), np.int64)
 
 
 def vocabulary(counts: DataFrame, total: int, min_share: float = MIN_SHARE) -> np.ndarray:
@@ -117,14 +110,15 @@ def vocabulary(counts: DataFrame, total: int, min_share: float = MIN_SHARE) -> n
 
 
 def spelled(letters: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
-    """(log chance of each byte, of a word's end, log chance of each class) of the spelling model.
+    """(log chance of a certain letter, digit, wider byte; of a word's end; of each class) of the spelling model.
 
-    Bytes follow each other independently; the classes' chances are exact sums over lengths.
+    Bytes follow each other independently, and those of a kind are alike; the classes'
+    chances are exact sums over lengths.
     """
-    total = max(int(letters[:256].sum()), 1)
-    stop = (letters[256] + 1) / (total + letters[256] + 2)
-    q = (letters[:256] + 0.01) / (total + 2.56)
-    digit, wide = q[48:58].sum(), q[128:].sum()
+    total = int(letters[:3].sum())
+    stop = (letters[3] + 1) / (total + letters[3] + 2)
+    kind = (letters[:3] + 1) / (total + 3)
+    digit, wide = kind[1], kind[2]
     length = np.arange(1, 20_000, dtype=float)
     last = np.searchsorted(_LENGTHS, length, "right")
     with np.errstate(under="ignore"):
@@ -132,29 +126,20 @@ def spelled(letters: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
         each = (1 - stop) ** length * stop
         of = [plain, with_digit - plain, with_wide - plain, 1 - with_digit - with_wide + plain]
         chance = np.array([(each * of[c % 4])[last == c // 4].sum() for c in range(CLASSES)])
-    return np.log(q * (1 - stop)), float(np.log(stop)), np.log(np.maximum(chance, 1e-300))
+    return np.log(kind / (26, 10, 128) * (1 - stop)), float(np.log(stop)), np.log(np.maximum(chance, 1e-300))
 
 
 def rare_chances(counts: DataFrame, letters: np.ndarray, often: float) -> DataFrame:
     """(word, chance): the log of each rare word's chance in its class; a table as long as the words are many."""
-    rare = counts.where(F.col("n") < often)
+    kind = sum((F.col("size") >= int(x)).cast("int") for x in _LENGTHS) * 4 + (F.col("digits") > 0).cast("int") + 2 * (F.col("wide") > 0).cast("int")
+    rare = counts.where(F.col("n") < often).withColumn("class", kind)
     known = {r["class"]: (r.c, r.v) for r in rare.groupBy("class").agg(F.sum("n").alias("c"), F.count("*").alias("v")).collect()}
-    log_q, log_stop, log_class = spelled(letters)
-    schema = pa.schema([("word", pa.int64()), ("chance", pa.float32())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, v = (np.array([known.get(k, (1, 1))[i] for k in range(CLASSES)], float) for i in (0, 1))
-        for batch in batches:
-            kind, n = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            spelling = batch.column(3)
-            off = np.frombuffer(spelling.buffers()[1], np.int32)[spelling.offset : spelling.offset + len(spelling) + 1].astype(np.int64) if len(spelling) else np.zeros(1, np.int64)
-            data = np.frombuffer(spelling.buffers()[2], np.uint8)[off[0] : off[-1]] if len(spelling) else np.empty(0, np.uint8)
-            total = np.concatenate([[0.0], np.cumsum(log_q[data])])
-            base = np.diff(total[off - off[0]]) + log_stop - log_class[kind]
-            p = np.maximum(n - DISCOUNT, 0) / c[kind] + DISCOUNT * v[kind] / c[kind] * np.exp(np.minimum(base, 0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.log(p).astype(np.float32))], schema=schema)
-
-    return rare.select("word", "class", "n", "spelling").mapInArrow(run, "word bigint, chance float")
+    log_q, log_stop, log_class = (np.asarray(x).tolist() for x in spelled(letters))
+    table = [[float(known.get(k, (1, 1))[0]), float(known.get(k, (1, 1))[1]), log_class[k]] for k in range(CLASSES)]
+    c, v, whole = (F.element_at(F.array(*(F.lit(row[i]) for row in table)), F.col("class") + 1) for i in range(3))
+    base = log_q[0] * (F.col("size") - F.col("digits") - F.col("wide")) + log_q[1] * F.col("digits") + log_q[2] * F.col("wide") + log_stop - whole
+    chance = F.log((F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + DISCOUNT * v * F.exp(F.least(base, F.lit(0.0)))) / c)
+    return rare.select("word", chance.cast("float").alias("chance"))
 
 
 def symbols(arr: pa.Array, vocab: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -167,7 +152,8 @@ def symbols(arr: pa.Array, vocab: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     out = np.searchsorted(vocab, h) if len(vocab) else np.zeros(len(h), np.int64)
     known = vocab[np.minimum(out, len(vocab) - 1)] == h if len(vocab) else np.zeros(len(h), bool)
     rare = np.flatnonzero(~known)
-    out[rare] = len(vocab) + word_classes(data, start[rare], size[rare])
+    digits, wide = (_inside(x, start[rare], size[rare]) for x in ((data >= 48) & (data <= 57), data >= 128))
+    out[rare] = len(vocab) + word_classes(size[rare], digits, wide)
     line = np.searchsorted(np.flatnonzero(data == 10), start)
     new = np.zeros(len(h), bool)
     new[1:] = line[1:] != line[:-1]
@@ -442,7 +428,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state
     """
     docs = id_text(docs, id_col, text_col)
     counts, letters = word_counts(docs)
-    total = int(letters[256])
+    total = int(letters[3])
     vocab = vocabulary(counts, total, min_share)
     table = materialize(encoded(docs, vocab).withColumn("uid", F.monotonically_increasing_id()))
     m = train(table.select("lines", "symbols"), vocab, total, states, iterations, least_gain)

@@ -20,7 +20,7 @@ WORD = re.compile(r"[0-9a-z\u0080-\U0010ffff]+")
 
 def counted(docs, share):
     counts, letters = M.word_counts(docs)
-    return M.vocabulary(counts, int(letters[256]), share), int(letters[256]), counts, letters
+    return M.vocabulary(counts, int(letters[3]), share), int(letters[3]), counts, letters
 
 
 def enumerate_all(m, seq):
@@ -73,9 +73,11 @@ def test_counts_and_vocabulary(docs):
     want = Counter(w for r in docs.collect() for w in WORD.findall(r.text.lower()))
     vocab, total, counts, letters = counted(docs.repartition(3), 0.001)
     assert total == sum(want.values())
-    assert {r.spelling.decode(): r.n for r in counts.collect()} == want
-    spelled = Counter(b for w, n in want.items() for b in w.encode() * n)
-    assert letters[:256].tolist() == [spelled[b] for b in range(256)]
+    key = dict(zip(M.words(pa.array([" ".join(want)]))[0].view(np.int64).tolist(), want, strict=True))
+    digits, wide = ({w: sum(b in keep for b in w.encode()) for w in want} for keep in (range(48, 58), range(128, 256)))
+    assert {(key[r.word], r.n, r.size, r.digits, r.wide) for r in counts.collect()} == {(w, n, len(w.encode()), digits[w], wide[w]) for w, n in want.items()}
+    per = [sum(n * x[w] for w, n in want.items()) for x in (digits, wide)]
+    assert letters.tolist() == [sum(n * len(w.encode()) for w, n in want.items()) - sum(per), *per, total]
     often = {w for w, n in want.items() if n >= 0.001 * total}
     assert sorted(vocab) == sorted(M.words(pa.array([" ".join(sorted(often))]))[0]) and (np.diff(vocab.astype(object)) > 0).all()
 
@@ -84,17 +86,18 @@ def test_chances_of_all_words_sum_to_one(docs):
     """Of each class: its counted words, and all spellings that no text has, together."""
     vocab, total, counts, letters = counted(docs, 0.001)
     q, stop, kind = (np.exp(x) for x in M.spelled(letters))
-    assert q.sum() + stop == pytest.approx(1) and kind.sum() == pytest.approx(1 - stop, abs=1e-6)  # a word is not empty
+    assert q @ (26, 10, 128) + stop == pytest.approx(1) and kind.sum() == pytest.approx(1 - stop, abs=1e-6)  # a word is not empty
     chance = {r.word: r.chance for r in M.rare_chances(counts, letters, 0.001 * total).collect()}
     rare = counts.where(f"n < {0.001 * total}").collect()
     assert set(chance) == {r.word for r in rare}
-    for c in {r["class"] for r in rare}:
-        mine = [r for r in rare if r["class"] == c]
-        base = [math.exp(sum(math.log(q[b]) for b in r.spelling)) * stop / kind[c] for r in mine]
+    class_of = {r.word: int(M.word_classes(np.array([r.size]), np.array([r.digits]), np.array([r.wide]))[0]) for r in rare}
+    for c in set(class_of.values()):
+        mine = [r for r in rare if class_of[r.word] == c]
+        base = [q[0] ** (r.size - r.digits - r.wide) * q[1] ** r.digits * q[2] ** r.wide * stop / kind[c] for r in mine]
         left = M.DISCOUNT * len(mine) / sum(r.n for r in mine) * (1 - sum(base))
         assert sum(math.exp(chance[r.word]) for r in mine) + left == pytest.approx(1, abs=1e-4)
     # A word that occurs twice is more than twice as likely as one that occurs once.
-    by_n = {n: np.mean([chance[r.word] for r in rare if r.n == n and r["class"] == 8]) for n in (1, 2)}
+    by_n = {n: np.mean([chance[r.word] for r in rare if r.n == n and class_of[r.word] == 8]) for n in (1, 2)}
     assert by_n[2] > by_n[1] + math.log(2)
 
 
