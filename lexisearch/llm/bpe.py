@@ -32,12 +32,21 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 REMEMBER = 1 << 19
 
 
+def contents(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def ranks(vocabulary: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
+
+
 class Encoder:
     """Encodes and decodes with the merge ranks of a vocabulary file."""
 
-    def __init__(self, path: str = VOCABULARY, pattern: str = PATTERN):
-        with open(path, "rb") as f:
-            self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    def __init__(self, vocabulary: str | bytes = VOCABULARY, pattern: str = PATTERN):
+        """``vocabulary`` is a file's path, or what it holds."""
+        self.rank = ranks(vocabulary if isinstance(vocabulary, bytes) else contents(vocabulary))
         self.bytes_of = {v: k for k, v in self.rank.items()}
         if any(bytes([b]) not in self.rank for b in range(256)):
             raise ValueError("the vocabulary needs a token for each byte")
@@ -200,9 +209,9 @@ class Encoder:
 
 
 @lru_cache(2)
-def encoder(path: str, pattern: str = PATTERN) -> Encoder:
+def encoder(vocabulary: bytes, pattern: str = PATTERN) -> Encoder:
     """One encoder a worker process."""
-    return Encoder(path, pattern)
+    return Encoder(vocabulary, pattern)
 
 
 ENCODED = "doc_id bigint, n_tokens int, token_ids array<int>, decoded_equal boolean"
@@ -213,14 +222,17 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     """(doc_id, n_tokens, token_ids, decoded_equal): the ids of each whole text, and
     whether decoding them gives the text's bytes again.
 
+    The vocabulary is a file of the driver's, of fixed size, that is broadcast.
     A narrow pass; each task keeps its own trie of distinct words, so nothing is
     shuffled. Null text gives null in all but ``doc_id``; empty text no tokens.
     Repeated rows each give a row; a null id stays null; other columns are ignored;
     an empty table gives an empty result.
     """
 
+    shared = docs.sparkSession.sparkContext.broadcast(contents(vocabulary))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = encoder(shared.value)
         for batch in batches:
             for part in pieces(batch, "text"):
                 texts = part.column(1).to_pylist()
@@ -242,9 +254,10 @@ def decode(encoded: DataFrame, ids_col: str = "token_ids", id_col: str = "doc_id
     vocabulary is an error.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+    shared = encoded.sparkSession.sparkContext.broadcast(contents(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = encoder(shared.value)
         for batch in batches:
             texts = [None if x is None else enc.decode(np.array(x, "<i4").tobytes()).decode(errors="replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], schema=schema)

@@ -15,7 +15,6 @@ result is the same however the input is partitioned.
 
 from __future__ import annotations
 
-import base64
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lexisearch.llm._spark import id_text, load, materialize, ranked
 from lexisearch.llm._text import pieces
-from lexisearch.llm.bpe import PATTERN, VOCABULARY
+from lexisearch.llm.bpe import PATTERN, VOCABULARY, contents, ranks
 
 ROW = 2048
 END = 50256
@@ -37,10 +36,8 @@ PAD = 0
 
 
 @lru_cache(2)
-def _encoding(path: str) -> tiktoken.Encoding:
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+def _encoding(vocabulary: bytes) -> tiktoken.Encoding:
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks(vocabulary), special_tokens={})
 
 
 class Capacities:
@@ -138,8 +135,10 @@ def cut(ids: np.ndarray, row: int) -> list[np.ndarray]:
 def encoded(docs: DataFrame, row: int, vocabulary: str, end: int, kind: str) -> DataFrame:
     """(doc_id, digest, part, n, ids): the pieces of each text; ``digest`` tells texts of one id apart."""
 
+    shared = docs.sparkSession.sparkContext.broadcast(contents(vocabulary))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoding(vocabulary)
+        enc = _encoding(shared.value)
         if enc.max_token_value >= 1 << 16 and kind == "<u2":
             raise ValueError("the vocabulary needs 32-bit ids")
         for batch in batches:
