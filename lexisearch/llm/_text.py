@@ -1,7 +1,9 @@
 """Vectorised word hashing over Arrow string columns.
 
-A word is a maximal run of ASCII letters, digits and non-ASCII bytes of the
-lower-cased UTF-8 text; everything else separates. Work is done on the Arrow
+A word is a maximal run of ASCII letters, digits and non-ASCII characters of the
+lower-cased text; a Han or kana character is a word by itself. Everything else
+separates, as does the punctuation of Latin-1, of the general block, and of the
+Chinese, Japanese and full-width blocks. Work is done on the Arrow
 buffers themselves, a few MB at a time, with no Python object per word.
 """
 
@@ -79,6 +81,25 @@ def _hash(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return h
 
 
+def _wide(data: np.ndarray, w: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """Unmarks the bytes of punctuation that is not ASCII in ``w``; (places, bytes each) of characters that are words by themselves."""
+    i = np.flatnonzero(data == 0xC2)
+    last = len(data) - 1
+    i = i[~np.isin(data[np.minimum(i + 1, last)], (0xAA, 0xB5, 0xBA))]
+    w[i] = w[np.minimum(i + 1, last)] = False
+    i = np.flatnonzero(data >= 0xE2)
+    if not len(i):
+        return []
+    lead, a, b = data[i], data[np.minimum(i + 1, last)], data[np.minimum(i + 2, last)]
+    marks = (lead == 0xE2) & (a <= 0x81) | (lead == 0xE3) & (a == 0x80) & (b != 0x85) & (b != 0x87)
+    marks |= (lead == 0xEF) & ((a == 0xB8) & (b >= 0xB0) | (a == 0xB9) & (b <= 0xAF) | (a == 0xBC) & ((b <= 0x8F) | (b >= 0x9A) & (b <= 0xA0) | (b >= 0xBB)) | (a == 0xBD) & ((b == 0x80) | (b >= 0x9B) & (b <= 0xA5)))
+    for k in range(3):
+        w[np.minimum(i[marks] + k, last)] = False
+    three = (lead >= 0xE4) & (lead <= 0xE9) | (lead == 0xE3) & ((a == 0x80) & ~marks | (a >= 0x81) & (a <= 0x83) | (a >= 0x90)) | (lead == 0xEF) & (a >= 0xA4) & (a <= 0xAB)
+    four = (lead == 0xF0) & (a >= 0xA0) & (a <= 0xB3)
+    return [(i[three & (i + 2 <= last)], 3), (i[four & (i + 3 <= last)], 4)]
+
+
 def words(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, index of each text's first word plus the total)."""
     h, first, _, _ = word_spans(pc.utf8_lower(arr))
@@ -92,12 +113,18 @@ def word_spans(arr: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     if not n:
         return np.empty(0, np.uint64), np.zeros(len(off), np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     w = _WORD[data]
+    alone = _wide(data, w)
     edge = np.zeros(n + 1, bool)
     edge[off] = True
     begin = w.copy()
     begin[1:] &= ~w[:-1] | edge[1:n]
     end = w.copy()
     end[:-1] &= ~w[1:] | edge[1:n]
+    for i, size in alone:
+        begin[i] = end[i + size - 1] = True
+        end[i[i > 0] - 1] |= w[i[i > 0] - 1]
+        after = (i + size)[i + size < n]
+        begin[after] |= w[after]
     start = np.flatnonzero(begin)
     size = np.flatnonzero(end) + 1 - start
     return _hash(data, start, size), np.searchsorted(start, off), start, size

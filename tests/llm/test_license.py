@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexisearch.llm import license as L
 
-WORD = re.compile(r"[0-9a-z\u0080-\U0010ffff]+")
+WORD = re.compile(r"[\u3005\u3007\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U00033fff]|[0-9a-z\u00aa\u00b5\u00ba\u00c0-\u1fff\u2080-\u2fff\u3100-\u33ff\ua000-\uf8ff\ufb00-\ufe2f\ufe70-\ufeff\uff10-\uff19\uff21-\uff3a\uff41-\uff5a\uff66-\U0001ffff\U00034000-\U0010ffff]+")
 
 
 def words(t):

@@ -15,7 +15,7 @@ def slow_features(text):
     """The features again, in plain Python."""
     import re
 
-    w = re.findall(r"[0-9a-z\u0080-\U0010ffff]+", text.lower())
+    w = re.findall(r"[\u3005\u3007\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U00033fff]|[0-9a-z\u00aa\u00b5\u00ba\u00c0-\u1fff\u2080-\u2fff\u3100-\u33ff\ua000-\uf8ff\ufb00-\ufe2f\ufe70-\ufeff\uff10-\uff19\uff21-\uff3a\uff41-\uff5a\uff66-\U0001ffff\U00034000-\U0010ffff]+", text.lower())
     lines = [x for x in text.split("\n") if x]
     letters = sum("a" <= c.lower() <= "z" or ord(c) > 127 for c in text)
     ascii_letters = sum("a" <= c <= "z" or "A" <= c <= "Z" for c in text)

@@ -6,7 +6,7 @@ import pytest
 
 from lexisearch.llm import retrieval as R
 
-WORD = re.compile(r"[0-9a-z\u0080-\U0010ffff]+")
+WORD = re.compile(r"[\u3005\u3007\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U00033fff]|[0-9a-z\u00aa\u00b5\u00ba\u00c0-\u1fff\u2080-\u2fff\u3100-\u33ff\ua000-\uf8ff\ufb00-\ufe2f\ufe70-\ufeff\uff10-\uff19\uff21-\uff3a\uff41-\uff5a\uff66-\U0001ffff\U00034000-\U0010ffff]+")
 
 
 def tokens(text):
@@ -15,7 +15,7 @@ def tokens(text):
 
 def cut(text, window):
     """Parts of a text and their words, in plain Python."""
-    spots = [m.start() for m in re.finditer(r"[0-9A-Za-z\u0080-\U0010ffff]+", text)]
+    spots = [m.start() for m in re.finditer(r"[\u3005\u3007\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U00033fff]|[0-9A-Za-z\u00aa\u00b5\u00ba\u00c0-\u1fff\u2080-\u2fff\u3100-\u33ff\ua000-\uf8ff\ufb00-\ufe2f\ufe70-\ufeff\uff10-\uff19\uff21-\uff3a\uff41-\uff5a\uff66-\U0001ffff\U00034000-\U0010ffff]+", text)]
     edges = [0, *spots[window::window], len(text)]
     return [text[a:b] for a, b in zip(edges, edges[1:])]
 
