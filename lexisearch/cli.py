@@ -8,7 +8,7 @@ import os
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from lexisearch.functions.scalar import route
+from lexisearch.functions.scalar import route, trace_id
 from lexisearch.operators.catalog import Catalog, shard_info
 from lexisearch.operators.index import IndexOptions
 from lexisearch.operators.search import search, search_shard
@@ -51,7 +51,7 @@ def parser() -> argparse.ArgumentParser:
     command("validate", "namespace")
     command("index", "namespace", file=None, content=None)
     command("remove", "namespace", "doc_id")
-    c = command("search", "namespace", "query", start=0, count=10, plugins="preprocessor,segmenter")
+    c = command("search", "namespace", "query", start=0, count=10, plugins="preprocessor,segmenter", trace="", dedup="none")
     c.add_argument("--group", type=int, action="append")
     command("compact", "namespace")
     command("segments", "namespace")
@@ -117,7 +117,9 @@ def main(argv: list[str] | None = None) -> list[str]:
         case "remove":
             store().remove(a.namespace, spark.createDataFrame([(a.doc_id,)], "doc_id string"))
         case "search":
-            out = search(store().postings(a.namespace), tokens(), a.count, a.start, a.group)
+            out = search(store().postings(a.namespace), tokens(), a.count, a.start, a.group, dedup=a.dedup)
+            # One id for all hits of a search: the caller's, or a new one.
+            out = out.withColumn("trace_id", F.lit(spark.range(1).select(trace_id(F.lit(a.trace))).first()[0]))
         case "compact":
             store().compact()
         case "segments":

@@ -522,6 +522,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert [r["node"] for r in do("info")] == ["n0", "n1", "n1", "n0", "n0", "n1"]
     (doc,) = do("index", "news", "--content", "Microsoft completes GitHub acquisition")
     (hit,) = do("search", "news", "github")
+    assert len(hit["trace_id"]) == 36 and do("search", "news", "github", "--trace", "t1", "--dedup", "latest")[0]["trace_id"] == "t1"
     assert hit["doc_id"] == doc["doc_id"] and hit["bm25_score"] == pytest.approx(1.0)
     (tmp_path / "lines").write_text("github one\ngithub two\n")
     assert len(do("index", "news", "--file", str(tmp_path / "lines"))) == 2
