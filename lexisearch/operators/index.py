@@ -91,7 +91,8 @@ def with_impacts(tf: DataFrame, stats: DataFrame, few: bool = False) -> DataFram
     frequent words are split otherwise. ``few`` says that only some words of a query are here.
     Statistics have a row for each segment, as manifests do.
     """
-    df = document_frequencies(tf)
+    # Counted over all columns: with some of them pruned the shuffle below would not be the same one and be done again.
+    df = tf.groupBy(*SEGMENT, "term").agg(F.count(F.when((F.col("tf") > 0) & (F.col("dl") >= 0), 1)).alias("df"))
     rows = tf.join(F.broadcast(df) if few else df, [*SEGMENT, "term"]).join(F.broadcast(stats), list(SEGMENT))
     return rows.select(*SEGMENT, "term", "doc_id", "tf", "dl", impact(F.col("tf"), F.col("dl"), F.col("df"), F.col("num_docs"), F.col("avg_length")).alias("bm25"))
 
