@@ -50,8 +50,10 @@ SMOOTHING = 0.1
 SEED = 20
 _LENGTHS = np.array([4, 7, 10, 15])
 CLASSES = (len(_LENGTHS) + 1) * 4
-#: Words whose recursions run side by side.
-TOGETHER = 1 << 19
+#: Words of whole documents that are laid out at once.
+TOGETHER = 1 << 21
+#: Words whose recursions run side by side, lines of about one length: what fits a cache.
+BLOCK = 1 << 18
 _SLICE = 1 << 13
 
 
@@ -200,16 +202,20 @@ class Lattice:
         self.seen = symbol[start[rank] + step]
 
     def forward(self, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(scaled alphas, scales, chances of what is seen), rows step by step."""
-        chance = m.emit.T[self.seen]
-        alpha, scale = np.empty_like(chance), np.empty(len(chance))
+        """(scaled alphas, scales, chances of what is seen); a row for each state, columns step by step."""
+        chance = m.emit.take(self.seen, axis=1)
+        alpha, scale = np.empty_like(chance), np.empty(len(self.seen))
+        into = np.ascontiguousarray(m.move.T)
         a = None
-        for t, n in enumerate(self.alive):
-            rows = slice(self.base[t], self.base[t] + n)
-            a = (m.start if a is None else a[:n] @ m.move) * chance[rows]
-            c = a.sum(axis=1)
-            a /= c[:, None]
-            alpha[rows], scale[rows] = a, c
+        for at, n in zip(self.base.tolist(), self.alive.tolist()):
+            now = alpha[:, at : at + n]
+            if a is None:
+                now[:] = m.start[:, None]
+            else:
+                np.matmul(into, a[:, :n], out=now)
+            now *= chance[:, at : at + n]
+            now /= np.add.reduce(now, axis=0, out=scale[at : at + n])
+            a = now
         return alpha, scale, chance
 
     def likelihood(self, scale: np.ndarray) -> np.ndarray:
@@ -224,19 +230,20 @@ class Lattice:
     def expected(self, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Expected counts of first states, moves and emissions, and the log-likelihood."""
         alpha, scale, chance = self.forward(m)
+        chance /= scale
         moves = np.zeros_like(m.move)
         after = None
-        for t in range(len(self.alive) - 1, -1, -1):
-            rows = slice(self.base[t], self.base[t] + self.alive[t])
-            beta = np.ones((self.alive[t], len(m.start)))
+        for at, n in zip(self.base[-2::-1].tolist(), self.alive[::-1].tolist()):
+            now, ahead = alpha[:, at : at + n], chance[:, at : at + n]
             if after is not None:
-                beta[: len(after)] = after @ m.move.T
-                moves += alpha[rows][: len(after)].T @ after
-            after = chance[rows] * beta
-            after /= scale[rows][:, None]
-            alpha[rows] *= beta
-        emits = np.stack([np.bincount(self.seen, alpha[:, k], m.emit.shape[1]) for k in range(len(m.start))])
-        first = alpha[: self.alive[0]].sum(axis=0) if len(self.alive) else np.zeros(len(m.start))
+                k = after.shape[1]
+                moves += now[:, :k] @ after.T
+                beta = m.move @ after
+                now[:, :k] *= beta
+                ahead[:, :k] *= beta
+            after = ahead
+        emits = np.stack([np.bincount(self.seen, a, m.emit.shape[1]) for a in alpha])
+        first = alpha[:, : self.alive[0]].sum(axis=1) if len(self.alive) else np.zeros(len(m.start))
         return first, moves * m.move, emits, float(np.log(scale).sum())
 
 
@@ -254,9 +261,18 @@ def _sequences(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray,
         at, base = to, int(ends[to - 1])
 
 
-def _lattices(batch: pa.RecordBatch) -> Iterator[tuple[Lattice, np.ndarray, np.ndarray]]:
-    for symbol, length, owner in _sequences(batch):
-        yield Lattice(symbol, length), length, owner
+def blocks(symbol: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarray, Lattice]]:
+    """All sequences, longest first, about ``BLOCK`` words at a time: (their places, their lattice)."""
+    start = np.cumsum(length) - length
+    order = np.argsort(-length, kind="stable")
+    ends = np.cumsum(length[order])
+    at = base = 0
+    while at < len(order):
+        to = max(at + 1, int(np.searchsorted(ends, base + BLOCK, "right")))
+        mine = order[at:to]
+        n = length[mine]
+        yield mine, Lattice(symbol[np.repeat(start[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n)
+        at, base = to, int(ends[to - 1])
 
 
 def _summed(table: DataFrame, size: int, counts: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> np.ndarray:
@@ -361,9 +377,10 @@ def iterate(table: DataFrame, m: Model) -> Model:
 
     def count(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         mine = Model(np.empty(0), *shared.value)
-        for lattice, _, _ in _lattices(batch):
-            first, moves, emits, ll = lattice.expected(mine)
-            yield np.concatenate([first, moves.ravel(), emits.ravel(), [ll]])
+        for symbol, length, _ in _sequences(batch):
+            for _, lattice in blocks(symbol, length):
+                first, moves, emits, ll = lattice.expected(mine)
+                yield np.concatenate([first, moves.ravel(), emits.ravel(), [ll]])
 
     total = _summed(table, k + k * k + k * n + 1, count)
     shared.unpersist()
@@ -393,8 +410,10 @@ def scored(table: DataFrame, m: Model) -> DataFrame:
         mine = Model(np.empty(0), *shared.value)
         for batch in batches:
             ll, n, lines = np.zeros(batch.num_rows), np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-            for lattice, length, owner in _lattices(batch):
-                got = lattice.likelihood(lattice.forward(mine)[1])
+            for symbol, length, owner in _sequences(batch):
+                got = np.empty(len(length))
+                for places, lattice in blocks(symbol, length):
+                    got[places] = lattice.likelihood(lattice.forward(mine)[1])
                 ll += np.bincount(owner, got, batch.num_rows)
                 n += np.bincount(owner, length, batch.num_rows)
                 lines += np.bincount(owner, minlength=batch.num_rows)
