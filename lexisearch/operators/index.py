@@ -6,8 +6,12 @@ so segments are built, searched and merged without looking at each other.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +19,12 @@ from lexisearch.functions.analysis import tokenize
 
 K1, B = 1.2, 0.75
 SEGMENT = ("namespace", "group_id", "segment_id")
+_PLACE = "namespace string, group_id int, segment_id bigint, term string"
+#: Tokens or postings that a Python worker has in hand at once, and documents of a block.
+SLICE, BLOCK = 2_000_000, 1024
+_BLOCK = [*SEGMENT, "term", "n", "ids", "tf", "dl", "length"]
+#: Repeated ids up to so many are broadcast to the documents; more are joined by a shuffle.
+BROADCAST_IDS = 200_000
 
 
 @dataclass(frozen=True)
@@ -47,19 +57,142 @@ def analyzed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", pl
     return docs.select(*((F.col(c) if c in have else default[c]).cast(kinds[c]).alias(c) for c in SEGMENT), F.col(id_col).alias("doc_id"), F.coalesce(tokens, F.array().cast("array<string>")).alias("tokens"))
 
 
-def term_frequencies(docs: DataFrame, terms: list[str] | DataFrame | None = None) -> DataFrame:
+def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """The batches in parts of at most ``SLICE`` list elements (or one row), with the rows' numbers of elements."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, at = np.cumsum(sizes), 0
+        while at < len(sizes):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
+            yield batch.slice(at, to - at), sizes[at:to]
+            at = to
+
+
+def _codes(values: pa.Array) -> np.ndarray:
+    """Equal values as equal numbers, null as 0."""
+    return pc.fill_null(values.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+
+
+def _counts(part: pa.RecordBatch, sizes: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The rows' segments as numbers; the terms; and in order of segment and term, of each document and term: the segment's
+    number, the term's, the row, and how often it is there. Null and empty tokens are left out."""
+    place = np.zeros(len(sizes), np.int64)
+    for c in SEGMENT:
+        place = np.unique(place * (len(sizes) + 1) + _codes(part.column(c)), return_inverse=True)[1]
+    coded = part.column("tokens").flatten().dictionary_encode()
+    terms, term = coded.dictionary, pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    empty = pc.index(terms, "").as_py()
+    if empty >= 0 or coded.null_count:
+        row, term = (x[(term >= 0) & (term != empty)] for x in (row, term))
+    bits, more = len(sizes).bit_length(), len(terms).bit_length()
+    key = np.sort((place[row] << more | term) << bits | row)
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    key, tf = key[first], np.diff(first, append=len(key))
+    row, key = key & ((1 << bits) - 1), key >> bits
+    return place, terms, key >> more, key & ((1 << more) - 1), row, tf
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, sizes in _slices(batches, "tokens"):
+        _, terms, _, term, row, tf = _counts(part, sizes)
+        columns = [part.column(c).take(pa.array(row)) for c in SEGMENT] + [terms.take(pa.array(term)), part.column("doc_id").take(pa.array(row)), pa.array(tf), pa.array(sizes[row].astype(np.int32))]
+        yield pa.RecordBatch.from_arrays(columns, [*SEGMENT, "term", "doc_id", "tf", "dl"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], lists: bool) -> Iterator[pa.RecordBatch]:
+    for part, sizes in _slices(batches, "tokens"):
+        places, terms, place, term, row, tf = _counts(part, sizes)
+        new = (np.diff(place, prepend=-1) != 0) | (np.diff(term, prepend=-1) != 0)
+        start = np.flatnonzero(new)
+        if lists:  # a frequent word's documents are in several blocks
+            at = np.arange(len(row)) - np.repeat(start, np.diff(start, append=len(row)))
+            start = np.flatnonzero(new | (at % BLOCK == 0))
+        n = np.diff(start, append=len(row))
+        columns = [part.column(c).take(pa.array(row[start])) for c in SEGMENT] + [terms.take(pa.array(term[start])), pa.array(n)]
+        if lists:
+            ends = pa.array(np.append(start, len(row)).astype(np.int32))
+            values = (part.column("doc_id").take(pa.array(row)), pa.array(tf.astype(np.int32)), pa.array(sizes[row].astype(np.int32)))
+            columns += [*(pa.ListArray.from_arrays(ends, v) for v in values), pa.array(np.zeros(len(n), np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, _BLOCK if lists else _BLOCK[:5])
+        if lists:
+            _, one, n = np.unique(places, return_index=True, return_counts=True)
+            none = pa.array(np.zeros(len(n) + 1, np.int32))
+            columns = [part.column(c).take(pa.array(one)) for c in SEGMENT] + [pa.array([""] * len(n), pa.string()), pa.array(n)]
+            columns += [*(pa.ListArray.from_arrays(none, v[:0]) for v in values), pa.array(np.bincount(places, sizes).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, _BLOCK)
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks with idf and average length as postings."""
+    for part, sizes in _slices(batches, "ids"):
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        ids, tf, dl = (part.column(c).flatten() for c in ("ids", "tf", "dl"))
+        idf, avg = (part.column(c).to_numpy(zero_copy_only=False).astype(np.float64)[row] for c in ("idf", "avg_length"))
+        n = tf.to_numpy().astype(np.float64)
+        bm25 = idf * n * (K1 + 1) / (n + K1 * (1 - B + B * dl.to_numpy().astype(np.float64) / np.where(avg == 0, 1, avg)))
+        columns = [part.column(c).take(pa.array(row)) for c in (*SEGMENT, "term")] + [ids, tf.cast(pa.int64()), dl, pa.array(np.where(avg == 0, 0.0, bm25))]
+        yield pa.RecordBatch.from_arrays(columns, [*SEGMENT, "term", "doc_id", "tf", "dl", "bm25"])
+
+
+def _by_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Documents whose ids are there once in their segment, and those whose ids are repeated (None
+    if no id is). Only ids are read to tell."""
+    keys = [*SEGMENT, "doc_id"]
+    repeated = docs.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*(F.col(k).alias(f"_{k}") for k in keys))
+    n = repeated.limit(BROADCAST_IDS + 1).count()
+    if n == 0:
+        return docs, None
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    repeated = F.broadcast(repeated) if n <= BROADCAST_IDS else repeated
+    return docs.join(repeated, same, "left_anti"), docs.join(repeated, same, "left_semi")
+
+
+def _id_type(docs: DataFrame) -> str:
+    return docs.schema["doc_id"].dataType.simpleString()
+
+
+def _counted_rows(docs: DataFrame) -> DataFrame:
+    return docs.select(*SEGMENT, "doc_id", "tokens").mapInArrow(_rows, f"{_PLACE}, doc_id {_id_type(docs)}, tf bigint, dl int")
+
+
+def _added(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*SEGMENT, "term", "doc_id").agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl"))
+
+
+def term_frequencies(docs: DataFrame, terms: list[str] | None = None) -> DataFrame:
     """(segment, term, doc_id, tf, dl): a document's count of each non-empty term, and its
-    length in tokens, empty ones included. ``terms`` keeps only these: a list before anything
-    is exploded, a table (column ``term``) before anything is counted.
+    length in tokens, empty ones included. ``terms`` keeps only these.
 
-    A document's tokens sit in one row, so the counts are complete before the shuffle.
+    A document's tokens sit in one row and are counted there, in Arrow batches; only rows of
+    ids that a segment has more than once are shuffled and added up.
     """
-    listed = isinstance(terms, list)
-    wanted = F.filter("tokens", (lambda t: t.isin(terms)) if listed else (lambda t: t != ""))
-    rows = docs.select(*SEGMENT, "doc_id", F.size("tokens").alias("dl"), F.explode(wanted).alias("term"))
-    if terms is not None and not listed:
-        rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
-    return rows.groupBy(*SEGMENT, "term", "doc_id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
+    if terms is not None:
+        rows = docs.select(*SEGMENT, "doc_id", F.size("tokens").alias("dl"), F.explode(F.filter("tokens", lambda t: t.isin(terms))).alias("term"))
+        return rows.groupBy(*SEGMENT, "term", "doc_id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
+    alone, repeated = _by_repeats(docs)
+    rows = _counted_rows(alone)
+    return rows if repeated is None else rows.unionByName(_added(_counted_rows(repeated)))
+
+
+def blocks(docs: DataFrame, lists: bool = True) -> DataFrame:
+    """(segment, term, n, ids, tf, dl, length): the term frequencies with up to ``BLOCK`` documents
+    of a term in a row, as lists; a term has many rows. Rows of the empty term, which no document
+    has, tell how many documents (``n``) there are and their ``length``. Without ``lists`` only the terms' ``n``."""
+    alone, repeated = _by_repeats(docs)
+    of = _id_type(docs)
+    kind = f"{_PLACE}, n bigint" + (f", ids array<{of}>, tf array<int>, dl array<int>, length bigint" if lists else "")
+    out = alone.select(*SEGMENT, "doc_id", "tokens").mapInArrow(lambda batches: _blocks(batches, lists), kind)
+    if repeated is None:
+        return out
+    rows = _added(_counted_rows(repeated))
+    one = [F.array("doc_id").alias("ids"), F.array(F.col("tf").cast("int")).alias("tf"), F.array("dl").alias("dl")]
+    out = out.unionByName(rows.select(*SEGMENT, "term", F.lit(1).cast("bigint").alias("n"), *(one if lists else ()), *((F.lit(0).cast("bigint").alias("length"),) if lists else ())))
+    if not lists:
+        return out
+    none = [F.array().cast(t).alias(c) for c, t in (("ids", f"array<{of}>"), ("tf", "array<int>"), ("dl", "array<int>"))]
+    sums = segment_stats(repeated)
+    return out.unionByName(sums.select(*SEGMENT, F.lit("").alias("term"), F.col("num_docs").alias("n"), *none, F.col("total_length").alias("length")))
 
 
 def segment_stats(docs: DataFrame) -> DataFrame:
@@ -73,8 +206,9 @@ def doc_lengths(docs: DataFrame) -> DataFrame:
     return docs.select(*SEGMENT, "doc_id", F.size("tokens").alias("dl"))
 
 
-def document_frequencies(tf: DataFrame) -> DataFrame:
-    return tf.groupBy(*SEGMENT, "term").agg(F.count("*").alias("df"))
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """(segment, term, df): documents are counted in each batch, and the counts summed."""
+    return blocks(docs, False).groupBy(*SEGMENT, "term").agg(F.sum("n").alias("df"))
 
 
 def impact(tf: Column, dl: Column, df: Column, n: Column, avg: Column) -> Column:
@@ -83,21 +217,48 @@ def impact(tf: Column, dl: Column, df: Column, n: Column, avg: Column) -> Column
     return F.when(avg == 0, F.lit(0.0)).otherwise(idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.nullif(avg, F.lit(0)))))
 
 
-def with_impacts(tf: DataFrame, stats: DataFrame, few: bool = False) -> DataFrame:
-    """Postings: the frequencies with document frequency and impact.
+def with_impacts(tf: DataFrame, stats: DataFrame) -> DataFrame:
+    """Postings of a query's few words: the frequencies with document frequency and impact.
 
-    Document frequencies are summed in parts and joined back, so that no task has all
-    postings of a word; the join is broadcast where the summed table turns out small, and its
-    frequent words are split otherwise. ``few`` says that only some words of a query are here.
     Statistics have a row for each segment, as manifests do.
     """
-    # Counted over all columns: with some of them pruned the shuffle below would not be the same one and be done again.
-    df = tf.groupBy(*SEGMENT, "term").agg(F.count(F.when((F.col("tf") > 0) & (F.col("dl") >= 0), 1)).alias("df"))
-    rows = tf.join(F.broadcast(df) if few else df, [*SEGMENT, "term"]).join(F.broadcast(stats), list(SEGMENT))
+    df = tf.groupBy(*SEGMENT, "term").agg(F.count("*").alias("df"))
+    rows = tf.join(F.broadcast(df), [*SEGMENT, "term"]).join(F.broadcast(stats), list(SEGMENT))
     return rows.select(*SEGMENT, "term", "doc_id", "tf", "dl", impact(F.col("tf"), F.col("dl"), F.col("df"), F.col("num_docs"), F.col("avg_length")).alias("bm25"))
 
 
+def weighted(held: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """Blocks with idf and average length, where the segments' statistics are not given those of the blocks.
+
+    Blocks are shuffled once, by term: sums, statistics and the join all read that shuffle. A
+    word's blocks stream through one task, which has none of them in memory for longer.
+    """
+    # The joins below want this of their inputs anyway; said here, it is said of all that read the shuffle.
+    held = held.where(" and ".join(f"{c} is not null" for c in (*SEGMENT, "term"))).repartition(*SEGMENT, "term")
+    # Everything is over all columns: with some of them pruned the shuffle would not be the same one and be done again.
+    all_read = (F.size("ids") >= 0) & (F.size("tf") >= 0) & (F.size("dl") >= 0) & (F.col("length") >= 0)
+    df = held.groupBy(*SEGMENT, "term").agg(F.sum(F.when(all_read, F.col("n"))).alias("df"))
+    if stats is None:
+        sums = [F.sum(F.when(all_read & (F.col("term") == ""), F.col(c))).alias(name) for c, name in (("n", "num_docs"), ("length", "total_length"))]
+        stats = held.groupBy(*SEGMENT).agg(*sums).withColumn("avg_length", F.expr("total_length div num_docs"))
+    rows = held.join(df, [*SEGMENT, "term"]).join(F.broadcast(stats), list(SEGMENT))
+    return rows.select(*SEGMENT, "term", "n", "ids", "tf", "dl", "length", F.log2(F.col("num_docs") / F.col("df") + 1).alias("idf"), "avg_length")
+
+
+def unpacked(held: DataFrame) -> DataFrame:
+    """Postings of weighted blocks, in the order of the blocks."""
+    of = held.schema["ids"].dataType.elementType.simpleString()
+    return held.mapInArrow(_postings, f"{_PLACE}, doc_id {of}, tf bigint, dl int, bm25 double")
+
+
 def build_postings(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", terms: list[str] | DataFrame | None = None, placed: tuple[str, ...] = SEGMENT) -> DataFrame:
-    """Postings of all documents, or of ``terms`` only (with the same impacts)."""
+    """Postings of all documents, or of ``terms`` only (with the same impacts): a list, that is
+    looked for before anything is exploded, or a table (column ``term``)."""
     docs = analyzed(docs, text_col, id_col, placed)
-    return with_impacts(term_frequencies(docs, terms), segment_stats(docs), isinstance(terms, list))
+    if isinstance(terms, list):
+        return with_impacts(term_frequencies(docs, terms), segment_stats(docs))
+    held = blocks(docs)
+    if terms is not None:
+        kept = terms.select("term").unionByName(docs.sparkSession.sql("SELECT '' AS term")).distinct()
+        held = held.join(kept, "term", "left_semi").select(_BLOCK)
+    return unpacked(weighted(held))

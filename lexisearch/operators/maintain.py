@@ -37,9 +37,9 @@ def relabel(postings: DataFrame, ids: list[int], into: int) -> DataFrame:
     return postings.withColumn("segment_id", F.when(F.col("segment_id").isin(ids), F.lit(into).cast("bigint")).otherwise(F.col("segment_id")))
 
 
-def merged_frequencies(postings: DataFrame) -> DataFrame:
-    """(term, df): postings of each term over all segments."""
-    return postings.groupBy("term").agg(F.count("*").alias("df"))
+def merged_frequencies(counts: DataFrame) -> DataFrame:
+    """(term, df): documents of each term over all segments, from their numbers ``n`` in parts."""
+    return counts.groupBy("term").agg(F.sum("n").alias("df"))
 
 
 def distinct_terms(postings: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexisearch.errors import Conflict, CorruptIndex, IndexClosed
-from lexisearch.operators.index import SEGMENT, IndexOptions, analyzed, doc_lengths, term_frequencies, with_impacts
+from lexisearch.operators.index import SEGMENT, IndexOptions, analyzed, blocks, doc_lengths, unpacked, weighted
 from lexisearch.operators.maintain import pick_segments, without
 from lexisearch.schemas import LENGTHS, POSTINGS, SEGMENTS, TOMBSTONES
 from lexisearch.sources.tables import spread
@@ -286,7 +286,7 @@ class SegmentStore:
         if not rows:
             return []
         stats = self._rows(rows).select(*SEGMENT, "num_docs", "total_length", "avg_length")
-        self._write(with_impacts(term_frequencies(docs), stats), "postings")
+        self._write(unpacked(weighted(blocks(docs), stats)), "postings")
         return self._summed(rows)
 
     def _buried(self, namespace: str, ids: DataFrame) -> dict | None:
