@@ -13,6 +13,8 @@ from lexisearch.operators.index import build_postings
 DIGITS = 9
 #: Query terms up to so many rows are broadcast to the postings; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Pairs of a query and a document that a task has at most, where the number of documents is known.
+PAIRS = 1_000_000
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -100,12 +102,19 @@ def search_shard(postings: DataFrame, group: int, tokens: list[str], count: int
     return hits.where((F.col("rank") > start) & (F.col("rank") <= start + count)).select("segment_id", "doc_id", "bm25_score")
 
 
-def search_batch(postings: DataFrame, queries: DataFrame, count: int = 10, start: int = 0, rerank=None, dedup: str = "none", score_type: str = "double") -> DataFrame:
+def search_batch(postings: DataFrame, queries: DataFrame, count: int = 10, start: int = 0, rerank=None, dedup: str = "none", score_type: str = "double", documents: int | None = None) -> DataFrame:
     """(query_id, rank, segment_id, doc_id, bm25_score) for a table of queries with query_id
-    and tokens. The queries' terms are broadcast only if they are counted to be few."""
+    and tokens. The queries' terms are broadcast only if they are counted to be few. Then, with the
+    number of ``documents`` in the index given, postings are dealt out by document to as many tasks
+    as keep each one's scores under ``PAIRS``, however many documents there are."""
     _known(dedup, score_type)
     terms = query_terms(queries)
     small = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    if small and documents is not None:
+        if "group_id" not in postings.columns:
+            postings = postings.withColumn("group_id", F.lit(0))
+        tasks = max(-(-documents * queries.count() // PAIRS), postings.sparkSession.sparkContext.defaultParallelism)
+        postings = postings.select("group_id", "segment_id", "doc_id", "term", "bm25").repartition(tasks, "group_id", "segment_id", "doc_id")
     hits = score_terms(F.broadcast(terms) if small else terms, postings, score_type)
     hits = latest(hits) if dedup == "latest" else hits
     hits = hits if rerank is None else rerank(hits)

@@ -158,7 +158,8 @@ SELECT query_id, rank::INTEGER AS rank, 0::BIGINT AS segment_id, doc_id, round(s
 )
 def search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), A.tokenize(F.col("text")).alias("tokens"))
-    return _found(search.search_batch(index.build_postings(documents(spark, sf_dir), terms=search.query_terms(raw)), raw, 5))
+    docs = documents(spark, sf_dir)
+    return _found(search.search_batch(index.build_postings(docs, terms=search.query_terms(raw)), raw, 5, documents=docs.count()))
 
 
 @query(_hits(segments=4))

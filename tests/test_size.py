@@ -1,10 +1,11 @@
 """What is done once, and what does not grow with the tables."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
-from lexisearch.operators import index
+from lexisearch.operators import index, search
 from lexisearch.plans.queries import six_digits
 
 
@@ -68,3 +69,15 @@ def test_six_digits_is_round(spark):
     values += [dice.random() * 10 ** dice.randrange(-3, 5) for _ in range(2000)] + [dice.randrange(10**9) / 1e6 + 5e-7 for _ in range(2000)]
     x = spark.createDataFrame([(v,) for v in values], "x double")
     assert x.where(~six_digits(F.col("x")).eqNullSafe(F.round("x", 6))).count() == 0
+
+
+def test_batch_search_deals_out_by_document(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a b{i % 5} c{i % 7}") for i in range(200)], "doc_id bigint, text string")
+    queries = spark.createDataFrame([(q, ["a", f"b{q}", "c1"]) for q in range(5)], "query_id bigint, tokens array<string>")
+    p = index.build_postings(docs)
+    want = sorted(search.search_batch(p, queries, 3).collect())
+    monkeypatch.setattr(search, "PAIRS", 50)
+    found = search.search_batch(p, queries, 3, documents=200)
+    assert "hashpartitioning(group_id" in plan(found) and ", 20), REPARTITION_BY_NUM" in plan(found)
+    assert not re.search(r"hashpartitioning\(query_id#\d+L?, group_id", plan(found))
+    assert sorted(found.collect()) == want
