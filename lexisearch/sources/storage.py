@@ -210,11 +210,20 @@ class SegmentStore:
     # Writing
 
     def _write(self, rows: DataFrame, name: str) -> None:
-        """In order of term, then document, with a Bloom filter, so that lookups read few row
-        groups. Ranges of (term, document) are dealt out: a word of every document is in many tasks and files."""
-        key = ["term", "doc_id"] if name == "postings" else ["doc_id"]
-        out = rows.repartitionByRange(*SEGMENT, *key).sortWithinPartitions(*SEGMENT, *key).write.mode("overwrite")
-        out.option("partitionOverwriteMode", "dynamic").option(f"parquet.bloom.filter.enabled#{key[0]}", "true").partitionBy(*SEGMENT).parquet(f"{self.path}/{name}")
+        """Each task's rows in order of term, or document, with a Bloom filter, so that lookups
+        read few row groups and pages. Rows stay in the tasks they are in: those of an index are there
+        by term, and ranges would have to be sampled, which computes everything twice."""
+        key = "term" if name == "postings" else "doc_id"
+        out = rows.sortWithinPartitions(*SEGMENT, key).write.mode("overwrite")
+        out.option("partitionOverwriteMode", "dynamic").option(f"parquet.bloom.filter.enabled#{key}", "true").partitionBy(*SEGMENT).parquet(f"{self.path}/{name}")
+
+    def _write_blocks(self, held: DataFrame, rows: list[dict]) -> None:
+        """Writes weighted blocks as postings. A single segment's are in order as they are unpacked,
+        and go to its folder directly; else they are sorted for the writer of many folders."""
+        postings = unpacked(held.sortWithinPartitions(*SEGMENT, "term"))
+        if len(rows) > 1:
+            return self._write(postings, "postings")
+        postings.drop(*SEGMENT).write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").parquet(self._folder("postings", rows[0]))
 
     def _clear(self, segment: int) -> None:
         """Deletes what an attempt that came to nothing has left in any group."""
@@ -286,7 +295,7 @@ class SegmentStore:
         if not rows:
             return []
         stats = self._rows(rows).select(*SEGMENT, "num_docs", "total_length", "avg_length")
-        self._write(unpacked(weighted(blocks(docs), stats)), "postings")
+        self._write_blocks(weighted(blocks(docs), stats), rows)
         return self._summed(rows)
 
     def _buried(self, namespace: str, ids: DataFrame) -> dict | None:
