@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Removed ids up to so many rows are broadcast to what they are removed from; more are joined by a shuffle.
+BROADCAST_IDS = 200_000
+
 
 def pick_segments(segments: list[tuple[int, int]], merge_num: int = 100_000) -> list[list[int]]:
     """Groups of small segments to merge, from (id, documents) of a manifest.
@@ -46,9 +49,16 @@ def distinct_terms(postings: DataFrame) -> DataFrame:
     return postings.select("term").distinct()
 
 
+def few(ids: DataFrame) -> bool:
+    """Whether rows are counted to be at most ``BROADCAST_IDS``."""
+    return ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+
+
 def without(rows: DataFrame, tombstones: DataFrame) -> DataFrame:
-    """Rows of documents that are not removed; a tombstone holds for segments up to ``upto``."""
+    """Rows of documents that are not removed; a tombstone holds for segments up to ``upto``.
+    Tombstones are broadcast to the rows if they are counted to be few."""
     last = tombstones.groupBy("namespace", "doc_id").agg(F.max("upto").alias("upto"))
+    last = F.broadcast(last) if few(tombstones) else last
     x, t = rows.alias("x"), last.alias("t")
     on = (F.col("x.namespace") == F.col("t.namespace")) & (F.col("x.doc_id") == F.col("t.doc_id")) & (F.col("x.segment_id") <= F.col("t.upto"))
     return x.join(t, on, "left_anti")

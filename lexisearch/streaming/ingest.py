@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lexisearch.functions.scalar import canonical_id, route
 from lexisearch.operators.index import SEGMENT
+from lexisearch.operators.maintain import few
 from lexisearch.sources.files import malformed, parse_commands
 from lexisearch.sources.storage import SegmentStore
 
@@ -29,7 +30,8 @@ def apply_batch(store: SegmentStore, namespace: str, commands: DataFrame, batch:
     at = F.struct(F.coalesce(appended, F.lit(0)).cast("bigint").alias("appended"), F.coalesce("seq", F.lit(0)).cast("bigint").alias("seq"))
     keyed = commands.select("type", "doc", canonical_id(F.coalesce("doc.doc_id", "doc_id")).alias("_id"), at.alias("_at")).where("_id is not null")
     removed = keyed.where("type = 'REMOVE'").groupBy("_id").agg(F.max("_at").alias("_upto"))
-    docs = keyed.where("type = 'INDEX'").join(removed, "_id", "left").where("_upto is null or _at > _upto")
+    # Documents are large and removals small: unless these are many, documents stay where they are.
+    docs = keyed.where("type = 'INDEX'").join(F.broadcast(removed) if few(removed) else removed, "_id", "left").where("_upto is null or _at > _upto")
     placed = {"namespace": F.lit(namespace), "group_id": route(F.col("_id"), groups), "segment_id": F.lit(0)}
     docs = docs.select(*(placed[c].alias(c) for c in SEGMENT), F.col("_id").alias("doc_id"), F.col("doc.tokens").alias("tokens"))
     store.add(docs, removed=(namespace, removed.select(F.col("_id").alias("doc_id"))), stream=stream, batch=batch)

@@ -5,8 +5,10 @@ import re
 
 from pyspark.sql import functions as F
 
-from lexisearch.operators import index, search
+from lexisearch.operators import index, maintain, search
 from lexisearch.plans.queries import six_digits
+from lexisearch.sources.storage import SegmentStore
+from lexisearch.streaming.ingest import apply_batch
 
 
 def plan(df):
@@ -58,17 +60,33 @@ def test_frequent_words_are_in_several_blocks(spark):
     assert index.build_postings(docs.drop("tokens").withColumn("text", F.lit("a"))).select("doc_id").distinct().count() == n
 
 
-def test_texts_are_analyzed_once(spark):
+def test_texts_are_analyzed_once(spark, tmp_path):
     docs, calls = counted_docs(spark)
     assert index.build_postings(docs).count() == 120 and calls.value == 40
-
-
-def test_six_digits_is_round(spark):
-    dice = random.Random(3)
-    values = [0.0, 1e-7, 5e-7, 0.1234565, 1.0000005, 2.5e-6, 3.1, 999999.9999995, 1e6, 1e12, -0.1234565, -1.5, float("nan"), None]
-    values += [dice.random() * 10 ** dice.randrange(-3, 5) for _ in range(2000)] + [dice.randrange(10**9) / 1e6 + 5e-7 for _ in range(2000)]
-    x = spark.createDataFrame([(v,) for v in values], "x double")
-    assert x.where(~six_digits(F.col("x")).eqNullSafe(F.round("x", 6))).count() == 0
+    docs, calls = counted_docs(spark)
+    s = SegmentStore(spark, str(tmp_path / "i"))
+    s.add(docs)
+    s.validate()
+    assert calls.value == 80  # lengths, then postings
+
+
+def test_few_removals_do_not_move_the_postings(spark, tmp_path):
+    auto = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = index.build_postings(spark.createDataFrame([("a", "x"), ("b", "x")], "doc_id string, text string"))
+        gone = spark.createDataFrame([("default", "a", 0)], "namespace string, doc_id string, upto bigint")
+        rest = maintain.without(p, gone)
+        assert [r.doc_id for r in rest.collect()] == ["b"]
+        held = spark.createDataFrame(p.collect(), p.schema)
+        assert "SortMergeJoin" not in plan(maintain.without(held, gone)) and "BroadcastHashJoin" in plan(maintain.without(held, gone))
+        s, seen = SegmentStore(spark, str(tmp_path / "i")), []
+        s.add = lambda docs, **more: seen.append(plan(docs))
+        commands = spark.createDataFrame([("INDEX", ("a", ["x"]), None, 1), ("REMOVE", None, "b", 2)], "type string, doc struct<doc_id: string, tokens: array<string>>, doc_id string, seq bigint")
+        apply_batch(s, "n", commands, 0)
+        assert "BroadcastHashJoin" in seen[0] and "SortMergeJoin" not in seen[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
 
 
 def test_batch_search_deals_out_by_document(spark, monkeypatch):
@@ -81,3 +99,11 @@ def test_batch_search_deals_out_by_document(spark, monkeypatch):
     assert "hashpartitioning(group_id" in plan(found) and ", 20), REPARTITION_BY_NUM" in plan(found)
     assert not re.search(r"hashpartitioning\(query_id#\d+L?, group_id", plan(found))
     assert sorted(found.collect()) == want
+
+
+def test_six_digits_is_round(spark):
+    dice = random.Random(3)
+    values = [0.0, 1e-7, 5e-7, 0.1234565, 1.0000005, 2.5e-6, 3.1, 999999.9999995, 1e6, 1e12, -0.1234565, -1.5, float("nan"), None]
+    values += [dice.random() * 10 ** dice.randrange(-3, 5) for _ in range(2000)] + [dice.randrange(10**9) / 1e6 + 5e-7 for _ in range(2000)]
+    x = spark.createDataFrame([(v,) for v in values], "x double")
+    assert x.where(~six_digits(F.col("x")).eqNullSafe(F.round("x", 6))).count() == 0
