@@ -80,6 +80,15 @@ def tokenize(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
+@lru_cache(1)
+def word_edges(spark: SparkSession) -> tuple[int, ...]:
+    """The code points where characters of ``WORD``, as the JVM has them, begin and end by turns."""
+    points = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    other = spark._jvm.java.util.regex.Pattern.compile(WORD.replace("[", "[^", 1))
+    found = list(map(ord, other.matcher(points).replaceAll("")))
+    return tuple(sorted(set(found) ^ {c + 1 for c in found}))
+
+
 def tokenize_han(text: Column, grams: int = 2) -> Column:
     """Like :func:`tokenize`, but a run of Han characters gives its ``grams``-character windows (itself if shorter)."""
     runs = F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(r"\p{IsHan}+|[\p{L}\p{Nd}&&[^\p{IsHan}]]+"), F.lit(0)), F.array().cast("array<string>"))

@@ -6,7 +6,8 @@ so segments are built, searched and merged without looking at each other.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,13 +16,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexisearch.functions.analysis import tokenize
+from lexisearch.functions.analysis import tokenize, word_edges
 
 K1, B = 1.2, 0.75
 SEGMENT = ("namespace", "group_id", "segment_id")
 _PLACE = "namespace string, group_id int, segment_id bigint, term string"
-#: Tokens or postings that a Python worker has in hand at once, and documents of a block.
-SLICE, BLOCK = 2_000_000, 1024
+#: Tokens or postings, and bytes of text, that a Python worker has in hand at once, and documents of a block.
+SLICE, TEXT, BLOCK = 2_000_000, 16_000_000, 1024
 _BLOCK = [*SEGMENT, "term", "n", "ids", "tf", "dl", "length"]
 #: Repeated ids up to so many are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
@@ -40,7 +41,8 @@ class IndexOptions:
 
 
 def analyzed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", placed: tuple[str, ...] = SEGMENT) -> DataFrame:
-    """(namespace, group_id, segment_id, doc_id, tokens).
+    """(namespace, group_id, segment_id, doc_id, tokens), and where tokens come of a text, the
+    ``lowered`` text, of which Python workers make the same tokens in less time.
 
     Text is tokenized; a table without ``text_col`` has its tokens in ``tokens``. The
     columns named in ``placed`` say where a document goes, if they are there; others of these
@@ -51,19 +53,20 @@ def analyzed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", pl
     for c in have - {"namespace", "tokens"}:
         if kind_of[c] not in ("tinyint", "smallint", "int", "bigint"):
             raise ValueError(f"{c} is {kind_of[c]}, not a whole number; leave it out of 'placed' if it is not the engine's")
-    tokens = F.col("tokens") if "tokens" in have else tokenize(F.col(text_col))
+    tokens, lowered = (F.col("tokens"), []) if "tokens" in have else (tokenize(F.col(text_col)), [F.lower(F.col(text_col)).alias("lowered")])
     default = {"namespace": F.lit("default"), "group_id": F.lit(0), "segment_id": F.lit(0)}
     kinds = {"namespace": "string", "group_id": "int", "segment_id": "bigint"}
-    return docs.select(*((F.col(c) if c in have else default[c]).cast(kinds[c]).alias(c) for c in SEGMENT), F.col(id_col).alias("doc_id"), F.coalesce(tokens, F.array().cast("array<string>")).alias("tokens"))
+    return docs.select(*((F.col(c) if c in have else default[c]).cast(kinds[c]).alias(c) for c in SEGMENT), F.col(id_col).alias("doc_id"), F.coalesce(tokens, F.array().cast("array<string>")).alias("tokens"), *lowered)
 
 
 def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """The batches in parts of at most ``SLICE`` list elements (or one row), with the rows' numbers of elements."""
+    """The batches in parts of at most ``SLICE`` list elements or ``TEXT`` bytes (or one row), with the rows' numbers of these."""
     for batch in batches:
-        sizes = pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        length, most = (pc.binary_length, TEXT) if column == "lowered" else (pc.list_value_length, SLICE)
+        sizes = pc.fill_null(length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         ends, at = np.cumsum(sizes), 0
         while at < len(sizes):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
             yield batch.slice(at, to - at), sizes[at:to]
             at = to
 
@@ -73,13 +76,75 @@ def _codes(values: pa.Array) -> np.ndarray:
     return pc.fill_null(values.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
 
 
-def _counts(part: pa.RecordBatch, sizes: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of strings, one after the other, and where each begins (and the last ends). Nulls are empty."""
+    values = pc.fill_null(values, "")
+    _, ends, data = values.buffers()
+    if not len(values) or data is None:
+        return np.zeros(0, np.uint8), np.zeros(len(values) + 1, np.int64)
+    wide = np.int64 if pa.types.is_large_string(values.type) else np.int32
+    ends = np.frombuffer(ends, wide, len(values) + 1, values.offset * wide().itemsize).astype(np.int64)
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+
+
+def _word_table(edges: np.ndarray) -> np.ndarray:
+    """Whether each code point is of words; ``edges`` are where that changes."""
+    table = np.zeros(0x110000 + 1, np.int8)
+    table[edges] = 1
+    return np.cumsum(table, dtype=np.int32) % 2 == 1
+
+
+def _words(texts: pa.Array, table: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """All runs of word characters of lower-cased texts, and how many each text has."""
+    data, ends = _bytes(texts)
+    keep = np.concatenate([table[:128], np.zeros(128, bool)])[data]
+    high = np.flatnonzero(data >= 0xC0)
+    if len(high):
+        lead = data[high].astype(np.int32)
+        width = 2 + (lead >= 0xE0) + (lead >= 0xF0)
+        point = lead & (0x7F >> width)
+        for i in range(1, 4):
+            more = data[np.minimum(high + i, len(data) - 1)] & 0x3F
+            point = np.where(i < width, point << 6 | more, point)
+        word = table[np.minimum(point, 0x10FFFF)]
+        high, width = high[word], width[word]
+        for i in range(4):
+            keep[high[width > i] + i] = True
+    begin = keep.copy()
+    begin[1:] &= ~keep[:-1]
+    rows = ends[:-1][ends[:-1] < len(data)]
+    begin[rows] = keep[rows]
+    sizes = np.diff(np.searchsorted(np.flatnonzero(begin), ends))
+    kept = data[keep]
+    starts = np.append(np.flatnonzero(begin[keep]), len(kept)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(kept)), sizes
+
+
+def _tokenized(batches: Iterator[pa.RecordBatch], edges: np.ndarray | None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, pa.Array]]:
+    """Parts of the batches, the rows' numbers of tokens, and all tokens."""
+    if edges is None:
+        for part, sizes in _slices(batches, "tokens"):
+            yield part, sizes, part.column("tokens").flatten()
+        return
+    table = _word_table(edges)
+    for part, _ in _slices(batches, "lowered"):
+        tokens, sizes = _words(part.column("lowered"), table)
+        yield part, sizes, tokens
+
+
+def _places(part: pa.RecordBatch) -> np.ndarray:
+    """The rows' segments as numbers from 0 on."""
+    place = np.zeros(len(part), np.int64)
+    for c in SEGMENT:
+        place = np.unique(place * (len(part) + 1) + _codes(part.column(c)), return_inverse=True)[1]
+    return place
+
+
+def _counts(part: pa.RecordBatch, sizes: np.ndarray, tokens: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The rows' segments as numbers; the terms; and in order of segment and term, of each document and term: the segment's
     number, the term's, the row, and how often it is there. Null and empty tokens are left out."""
-    place = np.zeros(len(sizes), np.int64)
-    for c in SEGMENT:
-        place = np.unique(place * (len(sizes) + 1) + _codes(part.column(c)), return_inverse=True)[1]
-    coded = part.column("tokens").flatten().dictionary_encode()
+    place = _places(part)
+    coded = tokens.dictionary_encode()
     terms, term = coded.dictionary, pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
     row = np.repeat(np.arange(len(sizes)), sizes)
     empty = pc.index(terms, "").as_py()
@@ -93,16 +158,20 @@ def _counts(part: pa.RecordBatch, sizes: np.ndarray) -> tuple[np.ndarray, pa.Arr
     return place, terms, key >> more, key & ((1 << more) - 1), row, tf
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, sizes in _slices(batches, "tokens"):
-        _, terms, _, term, row, tf = _counts(part, sizes)
+def _rows(batches: Iterator[pa.RecordBatch], edges: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    for part, sizes, tokens in _tokenized(batches, edges):
+        _, terms, _, term, row, tf = _counts(part, sizes, tokens)
         columns = [part.column(c).take(pa.array(row)) for c in SEGMENT] + [terms.take(pa.array(term)), part.column("doc_id").take(pa.array(row)), pa.array(tf), pa.array(sizes[row].astype(np.int32))]
         yield pa.RecordBatch.from_arrays(columns, [*SEGMENT, "term", "doc_id", "tf", "dl"])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], lists: bool) -> Iterator[pa.RecordBatch]:
-    for part, sizes in _slices(batches, "tokens"):
-        places, terms, place, term, row, tf = _counts(part, sizes)
+def _summed(tables: list[pa.Table], by: list[str], sums: list[str]) -> pa.Table:
+    return pa.concat_tables(tables).group_by(by).aggregate([(c, "sum") for c in sums]).rename_columns([*by, *sums])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], edges: np.ndarray | None, lists: bool) -> Iterator[pa.RecordBatch]:
+    for part, sizes, tokens in _tokenized(batches, edges):
+        places, terms, place, term, row, tf = _counts(part, sizes, tokens)
         new = (np.diff(place, prepend=-1) != 0) | (np.diff(term, prepend=-1) != 0)
         start = np.flatnonzero(new)
         if lists:  # a frequent word's documents are in several blocks
@@ -135,6 +204,122 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, [*SEGMENT, "term", "doc_id", "tf", "dl", "bm25"])
 
 
+def _hashes(terms: pa.Array) -> np.ndarray:
+    """Numbers below 2**32 by the bytes of strings."""
+    data, ends = _bytes(terms)
+    length = np.diff(ends)
+    power = np.cumprod(np.full(int(length.max(initial=0)) + 1, 0x100000001B3, np.uint64))
+    upto = np.append(np.uint64(0), np.cumsum((data + np.uint64(1)) * power[np.arange(len(data)) - np.repeat(ends[:-1], length)]))
+    mixed = upto[ends[1:]] - upto[ends[:-1]]
+    return ((mixed ^ mixed >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+
+
+def _names(part: pa.RecordBatch, place: np.ndarray) -> list[str]:
+    """The segments of :func:`_places` as text, which no other is the beginning of."""
+    one = pa.array(np.unique(place, return_index=True)[1])
+    return [json.dumps(x) for x in zip(*(part.column(c).take(one).to_pylist() for c in SEGMENT), strict=True)]
+
+
+def _packed(columns: list[pa.Array], names: list[str]) -> bytes:
+    out, rows = pa.BufferOutputStream(), pa.RecordBatch.from_arrays(columns, names)
+    with pa.ipc.new_stream(out, rows.schema) as to:
+        to.write_batch(rows)
+    return out.getvalue().to_pybytes()
+
+
+def _packets(names: list[str], terms: pa.Array, place: np.ndarray, term: np.ndarray, values: list[pa.Array], docs: np.ndarray, length: np.ndarray, packets: int) -> pa.RecordBatch:
+    """Postings in order of segment and term, dealt out by these to ``packets``; each packet's counts, with
+    those of all segments (as the empty term's), are a row, and so are its postings."""
+    places, new = pa.array(names, pa.string()), (np.diff(place, prepend=-1) != 0) | (np.diff(term, prepend=-1) != 0)
+    start = np.flatnonzero(new)
+    n, place, term = np.diff(start, append=len(place)), place[start], term[start]
+    mine = ((_hashes(terms)[term] + _hashes(places)[place]) % np.uint64(packets)).astype(np.int64)
+    order = np.argsort(mine, kind="stable")
+    start, n, place, term = start[order], n[order], place[order], term[order]
+    ends = np.append(0, np.cumsum(n))
+    row = pa.array(np.repeat(start - ends[:-1], n) + np.arange(ends[-1]))
+    key = [places.take(pa.array(place)), terms.take(pa.array(term))]
+    lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), v.take(row)) for v in values]
+    every = [places, pa.array([""] * len(names), pa.string()), pa.array(docs.astype(np.int64)), pa.array(length.astype(np.int64))]
+    zero, n = pa.array(np.zeros(len(n), np.int64)), pa.array(n.astype(np.int64))
+    at = np.searchsorted(mine[order], np.arange(packets + 1))
+    rows = []
+    for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+        counts = [pa.concat_arrays([x, y.slice(a, b - a)]) for x, y in zip(every, [*key, n, zero], strict=True)]
+        rows.append((i, 0, _packed(counts, ["place", "term", "n", "length"])))
+        if b > a:
+            rows.append((i, 1, _packed([x.slice(a, b - a) for x in [*key, *lists]], ["place", "term", "ids", "tf", "dl"])))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["packet", "kind", "body"])
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], edges: np.ndarray | None, packets: int) -> Iterator[pa.RecordBatch]:
+    """The packets of documents."""
+    for part, sizes, tokens in _tokenized(batches, edges):
+        places, terms, place, term, row, tf = _counts(part, sizes, tokens)
+        values = [part.column("doc_id").take(pa.array(row)), pa.array(tf.astype(np.int32)), pa.array(sizes[row].astype(np.int32))]
+        yield _packets(_names(part, places), terms, place, term, values, np.bincount(places), np.bincount(places, sizes), packets)
+
+
+def _dealt_rows(batches: Iterator[pa.RecordBatch], packets: int) -> Iterator[pa.RecordBatch]:
+    """The packets of term frequencies; rows of the null term have a segment's documents as ``tf`` and length as ``total``."""
+    for part in batches:
+        if not len(part):
+            continue
+        places, coded = _places(part), part.column("term").dictionary_encode()
+        tf, dl, total = (part.column(c).to_numpy(zero_copy_only=False) for c in ("tf", "dl", "total"))
+        term = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.lexsort((term, places))
+        row = order[term[order] >= 0]
+        values = [part.column("doc_id").take(pa.array(row)), pa.array(tf[row].astype(np.int32)), pa.array(dl[row].astype(np.int32))]
+        sums = [np.bincount(places, np.where(term < 0, x, 0)) for x in (tf, total)]
+        yield _packets(_names(part, places), coded.dictionary, places[row], term[row], values, *sums, packets)
+
+
+def _weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of packets whose rows come one after the other, counts first. Of a packet, its counts and
+    up to about ``SLICE`` postings are in memory."""
+    at, counts, held, size, known = None, [], [], 0, None
+    by, sums = ["place", "term"], ["n", "length"]
+
+    def weigh() -> Iterator[pa.RecordBatch]:
+        nonlocal counts, held, size, known
+        if held:
+            if known is None:
+                table = _summed(counts, by, sums).combine_chunks()
+                place, term, n, length = (table.column(c).combine_chunks() for c in (*by, *sums))
+                stats = pc.equal(term, "")
+                names, docs, length = (x.filter(stats) for x in (place, n, length))
+                docs, length = docs.to_numpy().astype(np.int64), length.to_numpy().astype(np.int64)
+                known = pc.binary_join_element_wise(place, term, ""), n.to_numpy(), names, docs, length // np.maximum(docs, 1)
+                counts = []
+            keys, df, names, docs, avg = known
+            rows = pa.concat_tables(held).combine_chunks()
+            place, term, ids, tf, dl = (rows.column(c).combine_chunks() for c in (*by, "ids", "tf", "dl"))
+            df = df[pc.index_in(pc.binary_join_element_wise(place, term, ""), keys).to_numpy()].astype(np.float64)
+            code = pc.index_in(place, names)
+            segments = [pa.array(x, t) for x, t in zip(zip(*map(json.loads, names.to_pylist()), strict=True), (pa.string(), pa.int32(), pa.int64()), strict=True)]
+            columns = [*(x.take(code) for x in segments), term, ids, tf, dl, pa.array(np.log2(docs[code.to_numpy()] / df + 1)), pa.array(avg[code.to_numpy()])]
+            yield from _postings([pa.RecordBatch.from_arrays(columns, [*SEGMENT, "term", "ids", "tf", "dl", "idf", "avg_length"])])
+        held, size = [], 0
+
+    for batch in batches:
+        for packet, kind, body in zip(batch.column("packet").to_pylist(), batch.column("kind").to_pylist(), batch.column("body"), strict=True):
+            if packet != at:
+                yield from weigh()
+                at, counts, known = packet, [], None
+            rows = pa.ipc.open_stream(body.as_buffer()).read_all()
+            if kind == 0:
+                counts.append(rows)
+                if sum(map(len, counts)) > SLICE // 4 + 2 * len(counts[0]):
+                    counts = [_summed(counts, by, sums)]
+            else:
+                held.append(rows)
+                size += len(rows.column("ids").combine_chunks().flatten())
+                if size > SLICE // 2:
+                    yield from weigh()
+    yield from weigh()
+
+
 def _by_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Documents whose ids are there once in their segment, and those whose ids are repeated (None
     if no id is). Only ids are read to tell."""
@@ -152,8 +337,14 @@ def _id_type(docs: DataFrame) -> str:
     return docs.schema["doc_id"].dataType.simpleString()
 
 
+def _over_tokens(docs: DataFrame, make: Callable[..., Iterator[pa.RecordBatch]], kind: str, *more) -> DataFrame:
+    """What ``make`` makes of analyzed documents, from the lowered text if they have it."""
+    column, edges = ("lowered", np.array(word_edges(docs.sparkSession))) if "lowered" in docs.columns else ("tokens", None)
+    return docs.select(*SEGMENT, "doc_id", column).mapInArrow(lambda batches: make(batches, edges, *more), kind)
+
+
 def _counted_rows(docs: DataFrame) -> DataFrame:
-    return docs.select(*SEGMENT, "doc_id", "tokens").mapInArrow(_rows, f"{_PLACE}, doc_id {_id_type(docs)}, tf bigint, dl int")
+    return _over_tokens(docs, _rows, f"{_PLACE}, doc_id {_id_type(docs)}, tf bigint, dl int")
 
 
 def _added(rows: DataFrame) -> DataFrame:
@@ -182,7 +373,7 @@ def blocks(docs: DataFrame, lists: bool = True) -> DataFrame:
     alone, repeated = _by_repeats(docs)
     of = _id_type(docs)
     kind = f"{_PLACE}, n bigint" + (f", ids array<{of}>, tf array<int>, dl array<int>, length bigint" if lists else "")
-    out = alone.select(*SEGMENT, "doc_id", "tokens").mapInArrow(lambda batches: _blocks(batches, lists), kind)
+    out = _over_tokens(alone, _blocks, kind, lists)
     if repeated is None:
         return out
     rows = _added(_counted_rows(repeated))
@@ -251,14 +442,30 @@ def unpacked(held: DataFrame) -> DataFrame:
     return held.mapInArrow(_postings, f"{_PLACE}, doc_id {of}, tf bigint, dl int, bm25 double")
 
 
+def _packet_postings(docs: DataFrame) -> DataFrame:
+    """Postings of all documents, which are shuffled once, in packets of many terms: rows of a packet are
+    few and large, so that nothing is sorted, joined or copied by the posting. Counts come before postings,
+    which stream through the packet's task."""
+    docs = docs.where(" and ".join(f"{c} is not null" for c in SEGMENT))
+    packets, kind = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "packet int, kind int, body binary"
+    alone, repeated = _by_repeats(docs)
+    held = _over_tokens(alone, _dealt, kind, packets)
+    if repeated is not None:
+        none = {"term": "string", "doc_id": _id_type(docs), "dl": "int"}
+        sums = segment_stats(repeated).select(*SEGMENT, *(F.lit(None).cast(t).alias(c) for c, t in none.items()), F.col("num_docs").alias("tf"), F.col("total_length").alias("total"))
+        rows = _added(_counted_rows(repeated)).withColumn("total", F.lit(0).cast("bigint")).unionByName(sums)
+        held = held.unionByName(rows.mapInArrow(lambda batches: _dealt_rows(batches, packets), kind))
+    held = held.repartition("packet").sortWithinPartitions("packet", "kind")
+    return held.mapInArrow(_weighed, f"{_PLACE}, doc_id {_id_type(docs)}, tf bigint, dl int, bm25 double")
+
+
 def build_postings(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", terms: list[str] | DataFrame | None = None, placed: tuple[str, ...] = SEGMENT) -> DataFrame:
     """Postings of all documents, or of ``terms`` only (with the same impacts): a list, that is
     looked for before anything is exploded, or a table (column ``term``)."""
     docs = analyzed(docs, text_col, id_col, placed)
     if isinstance(terms, list):
         return with_impacts(term_frequencies(docs, terms), segment_stats(docs))
-    held = blocks(docs)
-    if terms is not None:
-        kept = terms.select("term").unionByName(docs.sparkSession.sql("SELECT '' AS term")).distinct()
-        held = held.join(kept, "term", "left_semi").select(_BLOCK)
-    return unpacked(weighted(held))
+    if terms is None:
+        return _packet_postings(docs)
+    kept = terms.select("term").unionByName(docs.sparkSession.sql("SELECT '' AS term")).distinct()
+    return unpacked(weighted(blocks(docs).join(kept, "term", "left_semi").select(_BLOCK)))

@@ -1,10 +1,14 @@
 """What is done once, and what does not grow with the tables."""
 
+import math
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from lexisearch.functions.analysis import word_edges
 from lexisearch.operators import index, maintain, search
 from lexisearch.plans.queries import six_digits
 from lexisearch.sources.storage import SegmentStore
@@ -107,3 +111,39 @@ def test_six_digits_is_round(spark):
     values += [dice.random() * 10 ** dice.randrange(-3, 5) for _ in range(2000)] + [dice.randrange(10**9) / 1e6 + 5e-7 for _ in range(2000)]
     x = spark.createDataFrame([(v,) for v in values], "x double")
     assert x.where(~six_digits(F.col("x")).eqNullSafe(F.round("x", 6))).count() == 0
+
+
+
+def analyzed_batch(rows):
+    """Of (segment, id, text)."""
+    segments, ids, texts = zip(*rows, strict=True)
+    columns = [pa.array(["n"] * len(rows)), pa.array([0] * len(rows), pa.int32()), pa.array(segments, pa.int64()), pa.array(ids, pa.int64()), pa.array(texts, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, [*index.SEGMENT, "doc_id", "lowered"])
+
+
+
+def test_postings_are_shuffled_in_packets(spark):
+    docs = spark.createDataFrame([(i, f"a b{i % 5}", i % 4) for i in range(20)], "doc_id bigint, text string, segment_id bigint")
+    steps = plan(index.build_postings(docs))
+    assert "Join" not in steps and steps.count("Exchange hashpartitioning(packet") == 1 == steps.count("Exchange ")
+
+
+def test_packets_stream_with_whole_counts(spark, monkeypatch):
+    dice = random.Random(8)
+    docs = [(i % 3, i, " ".join(dice.choice(["p", "q", "Ω", f"x{i % 7}", f"y{i}"]) for _ in range(dice.randrange(6)))) for i in range(90)]
+    monkeypatch.setattr(index, "SLICE", 8)  # counts are compacted, and postings weighed, many times
+    monkeypatch.setattr(index, "TEXT", 30)
+    packed = pa.concat_tables([pa.Table.from_batches([b]) for b in index._dealt(iter([analyzed_batch(docs[i : i + 20]) for i in range(0, 90, 20)]), np.array(word_edges(spark)), 3)])
+    packed = packed.sort_by([("packet", "ascending"), ("kind", "ascending")])
+    assert set(packed.column("packet").to_pylist()) == {0, 1, 2}
+    found = [r for b in index._weighed(iter(packed.to_batches(5))) for r in b.to_pylist()]
+    want = {}
+    for s in range(3):
+        mine = [(d, t.split()) for x, d, t in docs if x == s]
+        avg = sum(len(t) for _, t in mine) // len(mine)
+        for d, t in mine:
+            for w in set(t):
+                df, tf = sum(w in u for _, u in mine), t.count(w)
+                want[s, w, d] = tf, len(t), round(math.log2(len(mine) / df + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(t) / avg)), 9)
+    assert len(found) == len(want)
+    assert {(r["segment_id"], r["term"], r["doc_id"]): (r["tf"], r["dl"], round(r["bm25"], 9)) for r in found} == want
