@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lexisearch.functions.analysis import word_edges
+from lexisearch.functions.analysis import tokenize, word_edges
 from lexisearch.operators import index, maintain, search
 from lexisearch.plans.queries import six_digits
 from lexisearch.sources.storage import SegmentStore
@@ -114,6 +114,18 @@ def test_six_digits_is_round(spark):
 
 
 
+def test_workers_find_the_tokens_of_the_jvm(spark):
+    dice = random.Random(5)
+    ranges = [(32, 127), (32, 127), (0xA0, 0x600), (0x600, 0xD800), (0xE000, 0x110000), (0x10000, 0x20000)]
+    texts = [None, "", "a", " ", "ΑΣ'Α ΑΣ İx", "é", "naïve—Straße", "x" * 5000] + ["".join(chr(dice.randrange(*dice.choice(ranges))) for _ in range(dice.randrange(40))) for _ in range(500)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", F.lower("t").alias("low"), tokenize(F.col("t")).alias("want")).orderBy("i").collect()
+    low, table = pa.array([r.low for r in rows], pa.string()), index._word_table(np.array(word_edges(spark)))
+    for start in (0, 7):
+        tokens, sizes = index._words(low.slice(start), table)
+        assert sizes.tolist() == [len(r.want) for r in rows[start:]]
+        assert tokens.to_pylist() == [t for r in rows[start:] for t in r.want]
+
+
 def analyzed_batch(rows):
     """Of (segment, id, text)."""
     segments, ids, texts = zip(*rows, strict=True)
