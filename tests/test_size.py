@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lexisearch.functions.analysis import tokenize, word_edges
 from lexisearch.operators import index, maintain, search
 from lexisearch.plans.queries import six_digits
+from lexisearch.sources import tables
 from lexisearch.sources.storage import SegmentStore
 from lexisearch.streaming.ingest import apply_batch
 
@@ -113,6 +114,15 @@ def test_six_digits_is_round(spark):
     assert x.where(~six_digits(F.col("x")).eqNullSafe(F.round("x", 6))).count() == 0
 
 
+def test_few_row_groups_are_spread(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "SPREAD_BYTES", 1000)
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(50_000).coalesce(1).write.parquet(str(tmp_path / "one.parquet"))
+    spark.range(50_000).repartition(3 * cores).write.parquet(str(tmp_path / "many.parquet"))
+    one = tables.read_table(spark, str(tmp_path), "one")
+    assert "RoundRobinPartitioning" in plan(one) and one.rdd.getNumPartitions() >= cores and one.count() == 50_000
+    assert "Exchange" not in plan(tables.read_table(spark, str(tmp_path), "many"))
+
 
 def test_workers_find_the_tokens_of_the_jvm(spark):
     dice = random.Random(5)
