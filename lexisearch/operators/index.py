@@ -169,27 +169,40 @@ def _summed(tables: list[pa.Table], by: list[str], sums: list[str]) -> pa.Table:
     return pa.concat_tables(tables).group_by(by).aggregate([(c, "sum") for c in sums]).rename_columns([*by, *sums])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], edges: np.ndarray | None, lists: bool) -> Iterator[pa.RecordBatch]:
+def _term_counts(batches: Iterator[pa.RecordBatch], edges: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Documents of each term, added up over the parts until there are ``SLICE`` rows of them."""
+    held, by = [], [*SEGMENT, "term"]
+    for part, sizes, tokens in _tokenized(batches, edges):
+        _, terms, place, term, row, _ = _counts(part, sizes, tokens)
+        start = np.flatnonzero((np.diff(place, prepend=-1) != 0) | (np.diff(term, prepend=-1) != 0))
+        columns = [part.column(c).take(pa.array(row[start])) for c in SEGMENT] + [terms.take(pa.array(term[start])), pa.array(np.diff(start, append=len(row)))]
+        held.append(pa.Table.from_arrays(columns, _BLOCK[:5]))
+        if sum(map(len, held)) > SLICE:
+            held = [_summed(held, by, ["n"])]
+            if len(held[0]) > SLICE // 2:
+                yield from held.pop().to_batches(SLICE)
+    if held:
+        yield from (held[0] if len(held) == 1 else _summed(held, by, ["n"])).to_batches(SLICE)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], edges: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     for part, sizes, tokens in _tokenized(batches, edges):
         places, terms, place, term, row, tf = _counts(part, sizes, tokens)
         new = (np.diff(place, prepend=-1) != 0) | (np.diff(term, prepend=-1) != 0)
-        start = np.flatnonzero(new)
-        if lists:  # a frequent word's documents are in several blocks
-            at = np.arange(len(row)) - np.repeat(start, np.diff(start, append=len(row)))
-            start = np.flatnonzero(new | (at % BLOCK == 0))
+        start = np.flatnonzero(new)  # a frequent word's documents are in several blocks
+        at = np.arange(len(row)) - np.repeat(start, np.diff(start, append=len(row)))
+        start = np.flatnonzero(new | (at % BLOCK == 0))
         n = np.diff(start, append=len(row))
         columns = [part.column(c).take(pa.array(row[start])) for c in SEGMENT] + [terms.take(pa.array(term[start])), pa.array(n)]
-        if lists:
-            ends = pa.array(np.append(start, len(row)).astype(np.int32))
-            values = (part.column("doc_id").take(pa.array(row)), pa.array(tf.astype(np.int32)), pa.array(sizes[row].astype(np.int32)))
-            columns += [*(pa.ListArray.from_arrays(ends, v) for v in values), pa.array(np.zeros(len(n), np.int64))]
-        yield pa.RecordBatch.from_arrays(columns, _BLOCK if lists else _BLOCK[:5])
-        if lists:
-            _, one, n = np.unique(places, return_index=True, return_counts=True)
-            none = pa.array(np.zeros(len(n) + 1, np.int32))
-            columns = [part.column(c).take(pa.array(one)) for c in SEGMENT] + [pa.array([""] * len(n), pa.string()), pa.array(n)]
-            columns += [*(pa.ListArray.from_arrays(none, v[:0]) for v in values), pa.array(np.bincount(places, sizes).astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, _BLOCK)
+        ends = pa.array(np.append(start, len(row)).astype(np.int32))
+        values = (part.column("doc_id").take(pa.array(row)), pa.array(tf.astype(np.int32)), pa.array(sizes[row].astype(np.int32)))
+        columns += [*(pa.ListArray.from_arrays(ends, v) for v in values), pa.array(np.zeros(len(n), np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, _BLOCK)
+        _, one, n = np.unique(places, return_index=True, return_counts=True)
+        none = pa.array(np.zeros(len(n) + 1, np.int32))
+        columns = [part.column(c).take(pa.array(one)) for c in SEGMENT] + [pa.array([""] * len(n), pa.string()), pa.array(n)]
+        columns += [*(pa.ListArray.from_arrays(none, v[:0]) for v in values), pa.array(np.bincount(places, sizes).astype(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, _BLOCK)
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,7 +386,7 @@ def blocks(docs: DataFrame, lists: bool = True) -> DataFrame:
     alone, repeated = _by_repeats(docs)
     of = _id_type(docs)
     kind = f"{_PLACE}, n bigint" + (f", ids array<{of}>, tf array<int>, dl array<int>, length bigint" if lists else "")
-    out = _over_tokens(alone, _blocks, kind, lists)
+    out = _over_tokens(alone, _blocks if lists else _term_counts, kind)
     if repeated is None:
         return out
     rows = _added(_counted_rows(repeated))
@@ -398,7 +411,7 @@ def doc_lengths(docs: DataFrame) -> DataFrame:
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
-    """(segment, term, df): documents are counted in each batch, and the counts summed."""
+    """(segment, term, df): documents are counted in each task, and the counts summed."""
     return blocks(docs, False).groupBy(*SEGMENT, "term").agg(F.sum("n").alias("df"))
 
 

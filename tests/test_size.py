@@ -143,6 +143,11 @@ def analyzed_batch(rows):
     return pa.RecordBatch.from_arrays(columns, [*index.SEGMENT, "doc_id", "lowered"])
 
 
+def test_terms_are_counted_by_the_task(spark):
+    batches = [analyzed_batch([(0, 3 * i + j, f"a b{j} a") for j in range(3)]) for i in range(5)]
+    found = [r for b in index._term_counts(iter(batches), np.array(word_edges(spark))) for r in b.to_pylist()]
+    assert sorted((r["term"], r["n"]) for r in found) == [("a", 15), ("b0", 5), ("b1", 5), ("b2", 5)]
+
 
 def test_postings_are_shuffled_in_packets(spark):
     docs = spark.createDataFrame([(i, f"a b{i % 5}", i % 4) for i in range(20)], "doc_id bigint, text string, segment_id bigint")
