@@ -22,8 +22,10 @@ K1, B = 1.2, 0.75
 SEGMENT = ("namespace", "group_id", "segment_id")
 _PLACE = "namespace string, group_id int, segment_id bigint, term string"
 #: Tokens or postings, and bytes of text, that a Python worker has in hand at once, and documents of a block.
-SLICE, TEXT, BLOCK = 2_000_000, 16_000_000, 1024
+SLICE, TEXT, BLOCK = 2_000_000, 6_000_000, 1024
 _BLOCK = [*SEGMENT, "term", "n", "ids", "tf", "dl", "length"]
+#: Input of less than this for each packet makes fewer packets than a shuffle has partitions.
+PACKET_BYTES = 4 << 20
 #: Repeated ids up to so many are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
 
@@ -240,6 +242,11 @@ def _packed(columns: list[pa.Array], names: list[str]) -> bytes:
     return out.getvalue().to_pybytes()
 
 
+def _opened(body: pa.Buffer) -> pa.Table:
+    rows = pa.ipc.open_stream(body).read_all()
+    return rows.set_column(0, "place", rows.column("place").cast(pa.string()))
+
+
 def _packets(names: list[str], terms: pa.Array, place: np.ndarray, term: np.ndarray, values: list[pa.Array], docs: np.ndarray, length: np.ndarray, packets: int) -> pa.RecordBatch:
     """Postings in order of segment and term, dealt out by these to ``packets``; each packet's counts, with
     those of all segments (as the empty term's), are a row, and so are its postings."""
@@ -251,17 +258,18 @@ def _packets(names: list[str], terms: pa.Array, place: np.ndarray, term: np.ndar
     start, n, place, term = start[order], n[order], place[order], term[order]
     ends = np.append(0, np.cumsum(n))
     row = pa.array(np.repeat(start - ends[:-1], n) + np.arange(ends[-1]))
-    key = [places.take(pa.array(place)), terms.take(pa.array(term))]
-    lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), v.take(row)) for v in values]
-    every = [places, pa.array([""] * len(names), pa.string()), pa.array(docs.astype(np.int64)), pa.array(length.astype(np.int64))]
-    zero, n = pa.array(np.zeros(len(n), np.int64)), pa.array(n.astype(np.int64))
+    terms = terms.take(pa.array(term))
+    found = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays([v.take(row) for v in values], ["ids", "tf", "dl"]))
+    every = [pa.array(np.arange(len(names))), pa.array([""] * len(names), pa.string()), pa.array(docs.astype(np.int64)), pa.array(length.astype(np.int64))]
+    place, n, zero = (pa.array(x.astype(np.int64)) for x in (place, n, np.zeros(len(n))))
     at = np.searchsorted(mine[order], np.arange(packets + 1))
     rows = []
     for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
-        counts = [pa.concat_arrays([x, y.slice(a, b - a)]) for x, y in zip(every, [*key, n, zero], strict=True)]
-        rows.append((i, 0, _packed(counts, ["place", "term", "n", "length"])))
+        code, *counts = (pa.concat_arrays([x, y.slice(a, b - a)]) for x, y in zip(every, [place, terms, n, zero], strict=True))
+        rows.append((i, 0, _packed([pa.DictionaryArray.from_arrays(code, places), *counts], ["place", "term", "n", "length"])))
         if b > a:
-            rows.append((i, 1, _packed([x.slice(a, b - a) for x in [*key, *lists]], ["place", "term", "ids", "tf", "dl"])))
+            code, *lists = (x.slice(a, b - a) for x in (place, terms, found))
+            rows.append((i, 1, _packed([pa.DictionaryArray.from_arrays(code, places), *lists], ["place", "term", "found"])))
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["packet", "kind", "body"])
 
 
@@ -290,7 +298,7 @@ def _dealt_rows(batches: Iterator[pa.RecordBatch], packets: int) -> Iterator[pa.
 
 def _weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Postings of packets whose rows come one after the other, counts first. Of a packet, its counts and
-    up to about ``SLICE`` postings are in memory."""
+    up to about an eighth of ``SLICE`` postings are in memory."""
     at, counts, held, size, known = None, [], [], 0, None
     by, sums = ["place", "term"], ["n", "length"]
 
@@ -307,7 +315,8 @@ def _weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts = []
             keys, df, names, docs, avg = known
             rows = pa.concat_tables(held).combine_chunks()
-            place, term, ids, tf, dl = (rows.column(c).combine_chunks() for c in (*by, "ids", "tf", "dl"))
+            place, term, found = (rows.column(c).combine_chunks() for c in (*by, "found"))
+            ids, tf, dl = (pa.ListArray.from_arrays(found.offsets, v) for v in found.flatten().flatten())
             df = df[pc.index_in(pc.binary_join_element_wise(place, term, ""), keys).to_numpy()].astype(np.float64)
             code = pc.index_in(place, names)
             segments = [pa.array(x, t) for x, t in zip(zip(*map(json.loads, names.to_pylist()), strict=True), (pa.string(), pa.int32(), pa.int64()), strict=True)]
@@ -320,15 +329,15 @@ def _weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if packet != at:
                 yield from weigh()
                 at, counts, known = packet, [], None
-            rows = pa.ipc.open_stream(body.as_buffer()).read_all()
+            rows = _opened(body.as_buffer())
             if kind == 0:
                 counts.append(rows)
                 if sum(map(len, counts)) > SLICE // 4 + 2 * len(counts[0]):
                     counts = [_summed(counts, by, sums)]
             else:
                 held.append(rows)
-                size += len(rows.column("ids").combine_chunks().flatten())
-                if size > SLICE // 2:
+                size += len(rows.column("found").combine_chunks().flatten())
+                if size > SLICE // 8:
                     yield from weigh()
     yield from weigh()
 
@@ -460,7 +469,9 @@ def _packet_postings(docs: DataFrame) -> DataFrame:
     few and large, so that nothing is sorted, joined or copied by the posting. Counts come before postings,
     which stream through the packet's task."""
     docs = docs.where(" and ".join(f"{c} is not null" for c in SEGMENT))
-    packets, kind = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "packet int, kind int, body binary"
+    spark, kind = docs.sparkSession, "packet int, kind int, body binary"
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    packets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(spark.sparkContext.defaultParallelism, size // PACKET_BYTES))
     alone, repeated = _by_repeats(docs)
     held = _over_tokens(alone, _dealt, kind, packets)
     if repeated is not None:
@@ -468,7 +479,7 @@ def _packet_postings(docs: DataFrame) -> DataFrame:
         sums = segment_stats(repeated).select(*SEGMENT, *(F.lit(None).cast(t).alias(c) for c, t in none.items()), F.col("num_docs").alias("tf"), F.col("total_length").alias("total"))
         rows = _added(_counted_rows(repeated)).withColumn("total", F.lit(0).cast("bigint")).unionByName(sums)
         held = held.unionByName(rows.mapInArrow(lambda batches: _dealt_rows(batches, packets), kind))
-    held = held.repartition("packet").sortWithinPartitions("packet", "kind")
+    held = held.repartitionById(packets, F.col("packet")).sortWithinPartitions("packet", "kind")  # by hash some tasks would have many
     return held.mapInArrow(_weighed, f"{_PLACE}, doc_id {_id_type(docs)}, tf bigint, dl int, bm25 double")
 
 

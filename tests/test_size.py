@@ -152,7 +152,8 @@ def test_terms_are_counted_by_the_task(spark):
 def test_postings_are_shuffled_in_packets(spark):
     docs = spark.createDataFrame([(i, f"a b{i % 5}", i % 4) for i in range(20)], "doc_id bigint, text string, segment_id bigint")
     steps = plan(index.build_postings(docs))
-    assert "Join" not in steps and steps.count("Exchange hashpartitioning(packet") == 1 == steps.count("Exchange ")
+    assert "Join" not in steps and steps.count("Exchange ") == 1
+    assert re.search(r"Exchange \w*\(.*packet#", steps) and "hashpartitioning" not in steps
 
 
 def test_packets_stream_with_whole_counts(spark, monkeypatch):
