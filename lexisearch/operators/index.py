@@ -296,6 +296,24 @@ def _dealt_rows(batches: Iterator[pa.RecordBatch], packets: int) -> Iterator[pa.
         yield _packets(_names(part, places), coded.dictionary, places[row], term[row], values, *sums, packets)
 
 
+def _log(x: np.ndarray) -> np.ndarray:
+    """The natural logarithm of numbers from 2 on with the JVM's last digit (StrictMath's algorithm)."""
+    bits = x.astype(np.float64).view(np.int64)
+    high = bits >> 32 & 0xFFFFF
+    up = high + 0x95F64 & 0x100000
+    k = ((bits >> 52) - 1023 + (up >> 20)).astype(np.float64)
+    f = (bits & 0xFFFFFFFF | (high | up ^ 0x3FF00000) << 32).view(np.float64) - 1
+    s = f / (2 + f)
+    z = s * s
+    w = z * z
+    r = z * (6.666666666666735130e-01 + w * (2.857142874366239149e-01 + w * (1.818357216161805012e-01 + w * 1.479819860511658591e-01)))
+    r = r + w * (3.999999999940941908e-01 + w * (2.222219843214978396e-01 + w * 1.531383769920937332e-01))
+    a, b, half = k * 6.93147180369123816490e-01, k * 1.90821492927058770002e-10, 0.5 * f * f
+    out = np.where((high - 0x6147A | 0x6B851 - high) > 0, a - ((half - (s * (half + r) + b)) - f), a - ((s * (f - r) - b) - f))
+    small = f * f * (0.5 - 0.33333333333333333 * f)
+    return np.where((2 + high & 0xFFFFF) < 3, np.where(f == 0, a + b, a - ((small - b) - f)), out)
+
+
 def _weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Postings of packets whose rows come one after the other, counts first. Of a packet, its counts and
     up to about an eighth of ``SLICE`` postings are in memory."""
@@ -320,7 +338,7 @@ def _weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             df = df[pc.index_in(pc.binary_join_element_wise(place, term, ""), keys).to_numpy()].astype(np.float64)
             code = pc.index_in(place, names)
             segments = [pa.array(x, t) for x, t in zip(zip(*map(json.loads, names.to_pylist()), strict=True), (pa.string(), pa.int32(), pa.int64()), strict=True)]
-            columns = [*(x.take(code) for x in segments), term, ids, tf, dl, pa.array(np.log2(docs[code.to_numpy()] / df + 1)), pa.array(avg[code.to_numpy()])]
+            columns = [*(x.take(code) for x in segments), term, ids, tf, dl, pa.array(_log(docs[code.to_numpy()] / df + 1) / _log(np.array([2.0]))), pa.array(avg[code.to_numpy()])]
             yield from _postings([pa.RecordBatch.from_arrays(columns, [*SEGMENT, "term", "ids", "tf", "dl", "idf", "avg_length"])])
         held, size = [], 0
 

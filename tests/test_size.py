@@ -175,3 +175,8 @@ def test_packets_stream_with_whole_counts(spark, monkeypatch):
                 want[s, w, d] = tf, len(t), round(math.log2(len(mine) / df + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(t) / avg)), 9)
     assert len(found) == len(want)
     assert {(r["segment_id"], r["term"], r["doc_id"]): (r["tf"], r["dl"], round(r["bm25"], 9)) for r in found} == want
+
+
+def test_logarithms_are_the_jvms(spark):
+    rows = spark.range(1, 20_001).select((F.lit(20_000.0) / F.col("id") + 1).alias("x"), F.log2(F.lit(20_000.0) / F.col("id") + 1).alias("y")).collect()
+    assert (index._log(np.array([r.x for r in rows])) / index._log(np.array([2.0]))).tolist() == [r.y for r in rows]
